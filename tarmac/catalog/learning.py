@@ -1 +1,215 @@
+"""Feature selection, anomaly detection, baselines, classifiers, tuning and batch scoring."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tarmac import presets
+from tarmac.catalog.aggregates import ranked_sql
+from tarmac.catalog.registry import case_map, query
+from tarmac.operators import correlation, isolation, models, select
+from tarmac.operators import features as fe
+from tarmac.plans import flows
+
+_FEATURES = ["Speed_limit", "road_risk_score", "is_dark", "is_wet_road", "is_urban", "Latitude", "Longitude", "Number_of_Vehicles", "Number_of_Casualties"]
+_LABEL = "Accident_Severity"
+
+
+def model_rows(d):
+    """Complete numeric rows with a text label, one per accident."""
+    out = fe.road_surface_flag(fe.lighting_features(fe.urban_flag(fe.road_risk_score(d.accidents))))
+    out = out.where(F.col(_LABEL).isin(*presets.LABELS)).select("Accident_Index", _LABEL, *_FEATURES).dropna()
+    return out.withColumns({c: F.col(c).cast("double") for c in _FEATURES})
+
+
+_COMPLETE = f"""(SELECT CAST(Speed_limit AS DOUBLE) AS Speed_limit, Latitude, Longitude, CAST(Number_of_Casualties AS DOUBLE) AS Number_of_Casualties,
+  CAST({case_map('Accident_Severity', presets.LABEL_CODES)} AS DOUBLE) AS y FROM accidents
+  WHERE Speed_limit IS NOT NULL AND Latitude IS NOT NULL AND Longitude IS NOT NULL AND Accident_Severity IN ('Fatal', 'Serious', 'Slight'))"""
+_STAT = ["Speed_limit", "Latitude", "Longitude", "Number_of_Casualties"]
+
+
+def _stat_rows(d):
+    rows = fe.encode_target(d.accidents).select(*_STAT, F.col(_LABEL).alias("y")).dropna()
+    return rows.withColumns({c: F.col(c).cast("double") for c in [*_STAT, "y"]})
+
+
+@query(
+    "select_by_pearson",
+    "feature:s score:f",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, y)) AS score FROM {_COMPLETE}" for c in _STAT),
+    ["accidents"],
+)
+def select_by_pearson(d):
+    return select.select_statistical(_stat_rows(d), _STAT, "y", "pearson")[1]
+
+
+@query(
+    "select_by_spearman",
+    "feature:s score:f",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, y)) AS score FROM {ranked_sql([c, 'y'], _COMPLETE)}" for c in _STAT),
+    ["accidents"],
+)
+def select_by_spearman(d):
+    return select.select_statistical(_stat_rows(d), _STAT, "y", "spearman")[1]
+
+
+_EDGES = ", ".join(f"{i / 10}e0" for i in range(11))
+
+
+def _mi_sql(column, bins):
+    binned = (
+        f"1 + len(list_filter(list_slice((SELECT list_sort(list_distinct(quantile_cont({column}, [{_EDGES}]))) FROM {_COMPLETE}), 2, -2), lambda e: {column} > e))"
+        if bins
+        else column
+    )
+    return f"""SELECT '{column}' AS feature, sum(n / nt * ln(n * nt / (nb * ny))) AS mutual_info FROM (
+      SELECT n, sum(n) OVER () AS nt, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION BY y) AS ny FROM (
+        SELECT b, y, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {binned} AS b, y FROM {_COMPLETE}) GROUP BY b, y))"""
+
+
+@query(
+    "mutual_information",
+    "feature:s mutual_info:f",
+    f"{_mi_sql('Speed_limit', False)} UNION ALL {_mi_sql('Latitude', True)} UNION ALL {_mi_sql('Number_of_Casualties', False)}",
+    ["accidents"],
+)
+def mutual_information(d):
+    return select.mutual_information(_stat_rows(d), ["Speed_limit", "Latitude", "Number_of_Casualties"], "y")
+
+
+_RISK = f"""CAST(floor({case_map('Speed_limit', presets.SPEED_RISK, '3')} * {case_map("coalesce(Road_Type, 'Single carriageway')", presets.ROAD_RISK_MULTIPLIERS, '1e0')}) AS DOUBLE)"""
+
+
+@query(
+    "correlation_filter",
+    "feature:s",
+    f"""WITH t AS (SELECT CAST(Speed_limit AS DOUBLE) AS speed, {_RISK} AS risk, CAST(Number_of_Vehicles AS DOUBLE) AS vehicles FROM accidents WHERE Speed_limit IS NOT NULL)
+        SELECT 'speed' AS feature FROM t HAVING NOT coalesce(abs(corr(speed, risk)) > 0.5e0, false)
+        UNION ALL SELECT 'risk' FROM t HAVING NOT coalesce(abs(corr(risk, vehicles)) > 0.5e0, false)
+        UNION ALL SELECT 'vehicles' FROM t HAVING NOT coalesce(abs(corr(speed, vehicles)) > 0.5e0, false)""",
+    ["accidents"],
+)
+def correlation_filter(d):
+    rows = fe.road_risk_score(d.accidents).where("Speed_limit IS NOT NULL")
+    rows = rows.select(F.col("Speed_limit").alias("speed"), F.col("road_risk_score").alias("risk"), F.col("Number_of_Vehicles").alias("vehicles"))
+    # Scores decide who goes: risk over vehicles over speed.
+    kept = correlation.correlation_filter(rows, ["speed", "risk", "vehicles"], {"risk": 3.0, "vehicles": 2.0, "speed": 1.0}, 0.5)
+    return d.spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
+@query("select_model_based", "feature:s score:f")
+def select_model_based(d):
+    rows = model_rows(d).withColumn("y", models.label_index(_LABEL, presets.LABELS))
+    return select.select_model_based(rows, _FEATURES, "y", top_k=5, trees=20, depth=5)[1]
+
+
+@query("select_rfecv", "feature:s ranking:i support:i score:f")
+def select_rfecv(d):
+    return select.select_rfecv(model_rows(d), _FEATURES, _LABEL, "Accident_Index", min_features=4, step=2, folds=3, max_iter=20)[1]
+
+
+@query("compare_selectors", "method:s feature:s")
+def compare_selectors(d):
+    rows = model_rows(d).withColumn("y", models.label_index(_LABEL, presets.LABELS))
+    found = select.compare_selectors(rows, _FEATURES, "y", "Accident_Index", min_features=5, step=4, folds=3, max_iter=10)
+    pairs = [(m, f) for m in ("rfecv", "model_based", "selected", "common") for f in found[m]]
+    return d.spark.createDataFrame(pairs, "method string, feature string")
+
+
+@query("isolation_forest", "sample_size:i anomalies:i rate_pct:f")
+def isolation_forest(d):
+    return isolation.anomaly_rate(d.weather, ["wspd", "pres", "wpgt", "tsun"], ["station_id", "time"])
+
+
+_KEPT = "Accident_Severity IN ('Fatal', 'Serious', 'Slight')"
+_UNIT = "CAST('0x' || substr(md5('42:' || CAST(Accident_Index AS STRING)), 1, 15) AS BIGINT) / 1152921504606846976e0"
+
+
+def _labelled(d):
+    return d.accidents.where(F.col(_LABEL).isin(*presets.LABELS)).select("Accident_Index", _LABEL)
+
+
+@query(
+    "baseline_most_frequent",
+    "Accident_Index:i prediction:s constant:s",
+    f"""SELECT Accident_Index, (SELECT Accident_Severity FROM accidents WHERE {_KEPT} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS prediction, 'Slight' AS constant
+        FROM accidents WHERE {_KEPT}""",
+    ["accidents"],
+)
+def baseline_most_frequent(d):
+    rows = _labelled(d)
+    fixed = models.baseline(rows, rows, _LABEL, "Accident_Index", "constant", "Slight").withColumnRenamed("prediction", "constant")
+    return models.baseline(rows, fixed, _LABEL, "Accident_Index", "most_frequent")
+
+
+@query(
+    "baseline_stratified",
+    "Accident_Index:i prediction:s",
+    f"""SELECT Accident_Index, CASE WHEN u < f THEN 'Fatal' WHEN u < f + s THEN 'Serious' ELSE 'Slight' END AS prediction FROM (
+          SELECT Accident_Index, {_UNIT} AS u, (SELECT avg(CASE WHEN Accident_Severity = 'Fatal' THEN 1e0 ELSE 0e0 END) FROM accidents WHERE {_KEPT}) AS f,
+            (SELECT avg(CASE WHEN Accident_Severity = 'Serious' THEN 1e0 ELSE 0e0 END) FROM accidents WHERE {_KEPT}) AS s FROM accidents WHERE {_KEPT})""",
+    ["accidents"],
+)
+def baseline_stratified(d):
+    rows = _labelled(d)
+    return models.baseline(rows, rows, _LABEL, "Accident_Index", "stratified")
+
+
+@query(
+    "baseline_uniform",
+    "Accident_Index:i prediction:s",
+    f"""SELECT Accident_Index, CASE WHEN {_UNIT} < 1e0 / 3 THEN 'Fatal' WHEN {_UNIT} < 1e0 / 3 + 1e0 / 3 THEN 'Serious' ELSE 'Slight' END AS prediction
+        FROM accidents WHERE {_KEPT}""",
+    ["accidents"],
+)
+def baseline_uniform(d):
+    rows = _labelled(d)
+    return models.baseline(rows, rows, _LABEL, "Accident_Index", "uniform")
+
+
+_SCORED_SPEC = "Accident_Index:i prediction:s confidence:f"
+
+
+@query("logistic_regression", _SCORED_SPEC)
+def logistic_regression(d):
+    rows = model_rows(d)
+    return models.fit_logistic(rows, _LABEL, _FEATURES, max_iter=30).transform(rows)
+
+
+@query("random_forest", _SCORED_SPEC)
+def random_forest(d):
+    rows = model_rows(d)
+    return models.fit_forest(rows, _LABEL, _FEATURES, trees=20, depth=6).transform(rows)
+
+
+@query("boosted_trees", _SCORED_SPEC)
+def boosted_trees(d):
+    rows = model_rows(d)
+    return models.fit_boosted(rows, _LABEL, _FEATURES, iterations=5, depth=3).transform(rows)
+
+
+@query("score_batch", "Accident_Index:i prediction:s fatal:f serious:f slight:f confidence:f")
+def score_batch(d):
+    rows = model_rows(d)
+    out = models.fit_logistic(rows, _LABEL, _FEATURES, max_iter=20).transform(rows, [0.1, 0.2, 0.5])
+    return out.withColumns({name.lower(): F.col("probability_map")[name] for name in presets.LABELS})
+
+
+@query("hyperparameter_search", "trial:i macro_f1:f threshold_fatal:f threshold_serious:f threshold_slight:f")
+def hyperparameter_search(d):
+    prepared = flows.split_balance_scale(model_rows(d), _LABEL, "Accident_Index", _FEATURES, flows.Config(apply_smote=False)).rows
+    train, val = (prepared.where(F.col("split") == s) for s in ("train", "val"))
+    _, trials, _ = models.hyperparameter_search(
+        train, val, _LABEL, _FEATURES, trials=2, overrides={"iterations": 3, "depth": 3}, grid=presets.tuning_grid()
+    )
+    return models.top_trials(trials)
+
+
+@query("train_and_evaluate", "model:s base_f1:f thresholded_f1:f delta:f")
+def train_and_evaluate(d):
+    prepared = flows.split_balance_scale(model_rows(d), _LABEL, "Accident_Index", _FEATURES).rows
+    fitters = {
+        "logistic": lambda t: models.fit_logistic(t, _LABEL, _FEATURES, max_iter=20),
+        "forest": lambda t: models.fit_forest(t, _LABEL, _FEATURES, trees=10, depth=5),
+    }
+    return flows.train_and_evaluate(prepared, _LABEL, _FEATURES, fitters)

@@ -170,11 +170,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table as a lazy DataFrame."""
     if name not in VIEWS:
         return table(spark, sf_dir, name)
-    text, needs = VIEWS[name]
-    frames = {n: view(spark, sf_dir, n) for n in needs}
-    sql = text("spark")
+    needs = VIEWS[name][1]
+    return view_over(spark, name, {n: view(spark, sf_dir, n) for n in needs})
+
+
+def view_over(spark: SparkSession, name: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """A domain view over given inputs, which may be streams."""
+    sql = VIEWS[name][0]("spark")
     # spark.sql binds DataFrames to {name}; a view text names its inputs bare after FROM / JOIN.
-    for n in needs:
+    for n in frames:
         sql = sql.replace(f"FROM {n}", f"FROM {{{n}}} AS {n}").replace(f"JOIN {n} ", f"JOIN {{{n}}} AS {n} ")
     return spark.sql(sql, **frames)
 

@@ -36,6 +36,8 @@ def score_stream(
 
 def resample_stream(stream: DataFrame, time: str = "ts", period: str = "1 day", late: str = "1 day", by: Sequence[str] = ()) -> DataFrame:
     """(period, …by, n) per tumbling window. Unlike the batch roll-up, empty periods do not appear."""
+    # A watermark needs an instant; a time without zone counts as UTC session time.
+    stream = stream.withColumn(time, col(time).cast("timestamp"))
     return (
         stream.withWatermark(time, late)
         .groupBy(F.window(col(time), period), *[col(c) for c in by])
@@ -60,3 +62,20 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, output_mode: str
     )
     query.awaitTermination()
     return query
+
+
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there and keep the whole aggregate, the open windows included."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = (
+        stream.writeStream.foreachBatch(replace)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("complete")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(path)
