@@ -10,6 +10,8 @@ from tarmac.catalog.registry import case_map, query
 from tarmac.operators import clean, groupstats, joins
 from tarmac.operators import features as fe
 from tarmac.plans import flows
+from tarmac.session import new_path
+from tarmac.sources import snapshots
 
 _DARK = "CASE WHEN contains(coalesce(Light_Conditions, ''), 'Darkness') THEN 1 ELSE 0 END"
 _RISK = f"""CAST(floor({case_map('coalesce(Speed_limit, 30)', presets.SPEED_RISK, '3')}
@@ -342,7 +344,8 @@ def speed_x_road_code(d):
     ["accidents_admin", "vehicles", "stations", "weather"],
 )
 def engineered_features(d):
-    return flows.engineer(joins.integrate(d.accidents_admin, d.vehicles, gb_stations(d), d.weather))
+    merged = joins.integrate(d.accidents_admin, d.vehicles, gb_stations(d), d.weather)
+    return flows.engineer(snapshots.write_snapshot(merged, new_path(d.spark, "merged")))
 
 
 @query(

@@ -9,6 +9,8 @@ from tarmac.catalog.aggregates import COMPARE_SQL
 from tarmac.catalog.integration import gb_stations
 from tarmac.catalog.registry import query, unpivot_sql
 from tarmac.operators import balance, clean, impute, joins, normality, profile, quality
+from tarmac.session import new_path
+from tarmac.sources import snapshots
 
 _FINDING = "dimension:s check_name:s subject:s metric:s value:f detail:s is_issue:i"
 _DAYS = "('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday')"
@@ -320,6 +322,7 @@ def post_split_checks(d):
 @query("full_validation", _FINDING)
 def full_validation(d):
     merged = joins.integrate(d.accidents, d.vehicles, gb_stations(d), d.weather)
+    merged = snapshots.write_snapshot(merged, new_path(d.spark, "merged"))
     return quality.validate(d.accidents, d.vehicles, merged)
 
 

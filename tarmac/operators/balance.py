@@ -22,6 +22,7 @@ Keys = str | Sequence[str]
 _LEVEL_SHIFTS = (45, 30, 15, 0)
 _END = 1 << 60
 MAX_CLASSES = 1_000
+_BLOCK = 10_000
 
 
 def row_hash(key: Keys, seed: int = 42) -> Column:
@@ -224,7 +225,12 @@ def smote(
     drawn = (
         minority.withColumns({"_copies": copies, "_reach": reach})
         .where(F.col("_copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        # Copies come in blocks, so a row with very many of them needs no very long array.
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / _BLOCK).cast("int"))))
+        .withColumn(
+            "_copy",
+            F.explode(F.sequence(F.col("_block") * _BLOCK + 1, F.least(F.col("_copies"), (F.col("_block") + 1) * _BLOCK))),
+        )
         .withColumn("_draw", F.concat_ws(":", col(key).cast("string"), F.col("_copy").cast("string")))
         .withColumn("rank", (F.pmod(fx.stable_hash(F.col("_draw"), seed + 1), F.col("_reach")) + 1).cast("int"))
         .withColumn("_gap", fx.unit_hash(F.col("_draw"), seed + 2))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarmac import presets
 from tarmac.functions import scalar as fx
 from tarmac.operators import clean, order_stats, profile
-from tarmac.operators.skew import MAX_BROADCAST_ROWS, join_lookup
+from tarmac.operators.skew import held, join_lookup, join_small_or_large
 from tarmac.schema import col, numeric_columns, string_columns
 
 
@@ -54,7 +54,7 @@ def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def impute_group_mean(df: DataFrame, column: str = "temp", by: str = "Date") -> DataFrame:
     """Nulls take the mean of their group, if the group has one."""
     means = df.where(col(column).isNotNull() & col(by).isNotNull()).groupBy(col(by)).agg(F.avg(col(column)).alias("_mean"))
-    joined = join_lookup(df, means, [by])
+    joined = join_small_or_large(df, means, [by])
     return joined.withColumn(column, F.coalesce(col(column).cast("double"), F.col("_mean"))).select(*[col(c) for c in df.columns])
 
 
@@ -191,32 +191,32 @@ def onehot_encode(df: DataFrame, column: str, levels: Sequence[str]) -> DataFram
     return df.withColumns({f"{column}_{v}": fx.flag(text == v) for v in levels}).drop(column)
 
 
-def fit_labels(df: DataFrame, column: str) -> DataFrame:
-    """(level, code): codes in text order from 0; null counts as the level 'None'.
+def fit_labels(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
+    """((level, code), is_small): codes in text order from 0; null counts as the level 'None'.
 
     Codes are positions among the distinct levels; with very many levels they are counted by
     leading characters first, so no task sorts them all.
     """
     text = F.coalesce(col(column).cast("string"), F.lit("None"))
-    levels = df.select(text.alias("level")).distinct()
-    # Many levels: one range per leading pair of characters, which text order respects.
-    placed = levels.withColumn("_range", F.substring("level", 1, 2) if _is_large(levels) else F.lit(""))
+    levels, is_small = held(df.select(text.alias("level")).distinct())
+    if is_small:
+        ordered = sorted(r["level"] for r in levels.collect())
+        return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(ordered)], "level string, code long"), True
+    placed = levels.withColumn("_range", F.substring("level", 1, 3))
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select(
         "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     position = F.row_number().over(Window.partitionBy("_range").orderBy("level")) - 1
-    return placed.join(F.broadcast(offsets), "_range").select("level", (F.col("offset") + position).cast("long").alias("code"))
+    coded = placed.join(offsets, "_range").select("level", (F.col("offset") + position).cast("long").alias("code"))
+    return coded, False
 
 
-def _is_large(levels: DataFrame) -> bool:
-    return levels.limit(MAX_BROADCAST_ROWS + 1).count() > MAX_BROADCAST_ROWS
-
-
-def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None) -> DataFrame:
-    codes = fit_labels(df, column) if codes is None else codes
+def label_encode(df: DataFrame, column: str, codes: tuple[DataFrame, bool] | None = None) -> DataFrame:
+    levels, is_small = fit_labels(df, column) if codes is None else codes
+    levels = levels.withColumnsRenamed({"level": "_level", "code": "_code"})
     keyed = df.withColumn("_level", F.coalesce(col(column).cast("string"), F.lit("None")))
-    joined = join_lookup(keyed, codes.withColumnsRenamed({"level": "_level", "code": "_code"}), ["_level"])
+    joined = keyed.join(F.broadcast(levels), "_level", "left") if is_small else join_lookup(keyed, levels, ["_level"])
     return joined.select(*[F.col("_code").alias(c) if c == column else col(c) for c in df.columns])
 
 

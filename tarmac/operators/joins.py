@@ -185,13 +185,14 @@ def attach_weather(
     nearest = nearest_station_join(accidents, stations, lat, lon).withColumnsRenamed({lat: "_lat", lon: "_lon"})
     spots = nearest.select("_lat", "_lon", "station_id")
     tagged = skew.join_lookup(
-        accidents.withColumns({"_lat": col(lat).cast("double"), "_lon": col(lon).cast("double")}), spots, ["_lat", "_lon"]
+        accidents.withColumns({"_lat": col(lat).cast("double"), "_lon": col(lon).cast("double")}), spots, ["_lat", "_lon"], null_keys=True
     ).drop("_lat", "_lon")
     daily = weather_on_day(weather)
     taken = {c.lower() for c in ("station_id", "time", *accidents.columns)}
     columns = list(weather_columns or [c for c in daily.columns if c.lower() not in taken])
     daily = daily.select("station_id", F.col("time").alias(date), *[col(c) for c in columns])
-    return skew.join_lookup(tagged, daily, ["station_id", date])
+    # Looking for hot (station, day) keys would repeat the search for stations.
+    return skew.join_lookup(tagged, daily, ["station_id", date], detect=False, null_keys=True)
 
 
 def integrate(

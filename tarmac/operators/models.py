@@ -68,7 +68,7 @@ def label_index(label: Column | str, labels: Sequence[str]) -> Column:
     return fx.lookup(label, {name: float(i) for i, name in enumerate(labels)})
 
 
-def _training(df: DataFrame, label: str, labels: Sequence[str], weights: Mapping[str, float] | None, require_all: bool) -> DataFrame:
+def _training(df: DataFrame, label: str, labels: Sequence[str], weights: Mapping[str, float] | None, require_all: bool) -> tuple[DataFrame, int]:
     counts = balance.class_counts(df, label)
     unknown = set(counts) - set(labels)
     if unknown:
@@ -77,7 +77,7 @@ def _training(df: DataFrame, label: str, labels: Sequence[str], weights: Mapping
         raise ValueError(f"classes missing from the training rows: {sorted(set(labels) - set(counts))}")
     out = df.withColumn("_y", label_index(label, labels)).where(F.col("_y").isNotNull())
     weight = fx.lookup(label, weights, 1.0) if weights else F.lit(1.0)
-    return out.withColumn("_w", weight)
+    return out.withColumn("_w", weight), sum(counts.values())
 
 
 def _assembler(features: Sequence[str]) -> VectorAssembler:
@@ -95,10 +95,9 @@ def fit_logistic(
     require_all: bool = False,
 ) -> Scored:
     """Multinomial logistic regression; ``c`` is the inverse penalty, so regParam = 1 / (c · rows)."""
-    rows = _training(df, label, labels, weights, require_all)
-    n = max(rows.count(), 1)
+    rows, n = _training(df, label, labels, weights, require_all)
     lr = LogisticRegression(
-        featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (c * n), maxIter=max_iter
+        featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (c * max(n, 1)), maxIter=max_iter
     )
     model = Pipeline(stages=[_assembler(features), lr]).fit(_with_all_classes(rows, labels, features))
     return Scored(list(labels), [(model, None)])
@@ -116,7 +115,7 @@ def fit_forest(
     require_all: bool = False,
     seed: int = 42,
 ) -> Scored:
-    rows = _training(df, label, labels, weights, require_all)
+    rows, _ = _training(df, label, labels, weights, require_all)
     rf = RandomForestClassifier(
         featuresCol="features", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=min_leaf, seed=seed
     )
@@ -140,7 +139,7 @@ def fit_boosted(
     parallelism: int = 3,
 ) -> Scored:
     """Boosted trees, one against the rest per class, with shares of the class scores as probabilities."""
-    rows = _training(df, label, labels, weights, require_all)
+    rows, _ = _training(df, label, labels, weights, require_all)
 
     def fit_one(i: int) -> tuple[PipelineModel, int]:
         gbt = GBTClassifier(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.operators.order_stats import distinct_counts, exact_quantiles, long_values
-from tarmac.operators.skew import join_lookup
+from tarmac.operators.skew import join_lookup, row_fingerprint
 from tarmac.schema import col
 
 
@@ -191,7 +191,9 @@ def duplicate_counts(df: DataFrame, composite: Sequence[str], key: str) -> DataF
     Each level aggregates the one before it, so the table is scanned once and copies
     collapse before the first shuffle.
     """
-    full = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [col(c) for c in composite]
+    # Rows of one composite key that differ get different fingerprints.
+    full = df.select(*keys, *row_fingerprint(df.columns)).groupBy(*keys, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     by_composite = full.groupBy(*[col(c) for c in composite]).agg(
         F.sum("_n").alias("_n"), F.sum(F.col("_n") - 1).alias("_full")
     )
@@ -208,8 +210,6 @@ def duplicate_counts(df: DataFrame, composite: Sequence[str], key: str) -> DataF
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None, **skew_options) -> DataFrame:
     """Every member of a group of equal rows (or equal ``subset``), the first one included."""
     by = list(subset or df.columns)
-    marked = df.withColumn("_group", F.to_json(F.struct(*[col(c) for c in by]), {"ignoreNullFields": "false"}))
-    repeated = (
-        marked.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_group")
-    )
-    return join_lookup(marked, repeated, ["_group"], "inner", **skew_options).drop("_group")
+    marked = df.select("*", *row_fingerprint(by))
+    repeated = marked.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    return join_lookup(marked, repeated, ["_h1", "_h2"], "inner", **skew_options).drop("_h1", "_h2")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tarmac import presets
 from tarmac.functions import scalar as fx
 from tarmac.operators import correlation, joins, profile
+from tarmac.operators.skew import row_fingerprint
 from tarmac.schema import col, numeric_columns
 
 FINDINGS = "dimension string, check_name string, subject string, metric string, value double, detail string, is_issue boolean"
@@ -307,7 +308,8 @@ def validation_score(df: DataFrame | None) -> DataFrame:
     with_nulls = profile.null_profile(df).agg(F.count(F.lit(1)).alias("n"))
     broken = generic_checks(df).where("is_issue").agg(F.count(F.lit(1)).alias("n"))
     copies = (
-        df.groupBy(*[col(c) for c in df.columns])
+        df.select(*row_fingerprint(df.columns))
+        .groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("k"))
         .agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("rows"))
     )
@@ -339,7 +341,8 @@ def check_split(df: DataFrame, features: Sequence[str] | None = None, label: str
         checks.measure(dim, "nulls", c, "rows", F.count_if(col(c).isNull()))
     checks.measure(dim, "label", label, "nulls", F.count_if(col(label).isNull()))
     copies = (
-        df.groupBy(*[col(c) for c in features])
+        df.select(*row_fingerprint(features))
+        .groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("k"))
         .agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("copies"))
     )

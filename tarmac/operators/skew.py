@@ -19,6 +19,7 @@ MAX_HOT_KEYS = 1_000
 SMALL_BYTES = 256 * 1024 * 1024
 ROWS_PER_SALT = 4_000_000
 MAX_BROADCAST_ROWS = 100_000
+NULL_SALTS = 4_096
 _SALT = "_salt"
 
 
@@ -60,13 +61,18 @@ def _salts(keys: Sequence[str], hot: dict[int, int]) -> Column:
 
 
 def _spread(df: DataFrame, keys: Sequence[str], hot: dict[int, int]) -> DataFrame:
-    # The salt follows from the partition and the row, so a retried task repeats it.
-    # The partition number also parts rows that are copies of each other.
-    mixed = F.xxhash64(F.spark_partition_id(), *[col(c) for c in df.columns])
-    return df.withColumn(_SALT, F.pmod(mixed, _salts(keys, hot)))
+    # The salt follows from the input partition: a retried task repeats it, rows that are
+    # copies of each other part, and no column is read for it. Rows without a key match
+    # nothing; they take any salt, so that they do not meet in one partition.
+    mixed = F.xxhash64(F.spark_partition_id())
+    salts = _salts(keys, hot) if hot else F.lit(1).cast("long")
+    return df.withColumn(_SALT, F.when(_all_set(keys), F.pmod(mixed, salts)).otherwise(F.pmod(mixed, F.lit(NULL_SALTS))))
 
 
 def _copied(df: DataFrame, keys: Sequence[str], hot: dict[int, int]) -> DataFrame:
+    if not hot:
+        # Always 0, but not a literal: a literal would be taken out of the join key.
+        return df.withColumn(_SALT, F.pmod(key_hash(keys), F.lit(1)))
     return df.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("long"), _salts(keys, hot) - 1)))
 
 
@@ -77,11 +83,21 @@ def join_lookup(
     how: str = "left",
     rows_per_salt: int = ROWS_PER_SALT,
     small_bytes: int = SMALL_BYTES,
+    detect: bool = True,
+    null_keys: bool = False,
 ) -> DataFrame:
-    """Join a table to another with one row per key; hot keys of ``many`` are salted."""
+    """Join a table to another with one row per key.
+
+    ``detect`` looks for hot keys in a pass over the keys of ``many``; without it, hot keys
+    are left to the adaptive skew join, which can split ``many`` as the preserved side. Use
+    it off where computing the keys costs as much as the join. ``null_keys`` spreads rows
+    without a key. With neither in play the join is plain and keeps an existing partitioning.
+    """
     keys = list(keys)
-    hot = hot_keys(many, keys, rows_per_salt, small_bytes)
-    if not hot:
+    if size_upper_bound(many) <= small_bytes:
+        return many.join(one, keys, how)
+    hot = hot_keys(many, keys, rows_per_salt, small_bytes) if detect else {}
+    if not hot and not null_keys:
         return many.join(one, keys, how)
     return _spread(many, keys, hot).join(_copied(one, keys, hot), [*keys, _SALT], how).drop(_SALT)
 
@@ -130,8 +146,27 @@ def attach_group_stats(
     return join_lookup(df, stats, keys, "left", rows_per_salt, small_bytes)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcast only after counting that it has at most ``limit`` rows."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+def held(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """(table, True) with the rows held as a literal table when there are at most ``limit``.
+
+    One run settles the size and keeps the result, so a small aggregate over a large table
+    can be broadcast without being computed twice or guessed at.
+    """
+    rows = df.limit(limit + 1).collect()  # bounded by the limit
+    if len(rows) > limit:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
+def join_small_or_large(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "left", limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``one`` once its size is known to be small; otherwise join on shuffled keys."""
+    one, is_small = held(one, limit)
+    return many.join(F.broadcast(one), list(keys), how) if is_small else join_lookup(many, one, keys, how, null_keys=True)
+
+
+def row_fingerprint(columns: Sequence[str]) -> list[Column]:
+    """128 bits that stand for a whole row, so wide rows need not be shuffled to be compared."""
+    picked = [col(c) for c in columns]
+    # Nulls do not enter a hash: their places are hashed too.
+    places = F.xxhash64(*[c.isNull() for c in picked])
+    return [F.xxhash64(*picked, places).alias("_h1"), F.xxhash64(places, F.lit(7), *reversed(picked)).alias("_h2")]
