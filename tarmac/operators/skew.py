@@ -161,7 +161,9 @@ def held(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, boo
 def join_small_or_large(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "left", limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``one`` once its size is known to be small; otherwise join on shuffled keys."""
     one, is_small = held(one, limit)
-    return many.join(F.broadcast(one), list(keys), how) if is_small else join_lookup(many, one, keys, how, null_keys=True)
+    if is_small:
+        return many.join(F.broadcast(one), list(keys), how)
+    return join_lookup(many, one, keys, how, detect=False, null_keys=how != "inner")
 
 
 def row_fingerprint(columns: Sequence[str]) -> list[Column]:

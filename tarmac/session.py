@@ -54,8 +54,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage, so lost executors cost a re-read only."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` to shared storage and go on from the written table.
+
+    Lost executors then cost a re-read only. A table rather than an RDD checkpoint, because
+    later steps read just the columns they use and know its size.
+    """
+    path = new_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
