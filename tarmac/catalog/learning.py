@@ -213,3 +213,26 @@ def train_and_evaluate(d):
         "forest": lambda t: models.fit_forest(t, _LABEL, _FEATURES, trees=10, depth=5),
     }
     return flows.train_and_evaluate(prepared, _LABEL, _FEATURES, fitters)
+
+
+@query(
+    "top_features",
+    "feature:s",
+    "SELECT feature FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, y)) AS score FROM {_COMPLETE}" for c in _STAT)
+    + ") ORDER BY score DESC, feature LIMIT 2",
+    ["accidents"],
+)
+def top_features(d):
+    kept, _ = select.select_statistical(_stat_rows(d), _STAT, "y", "pearson", top_k=2)
+    return d.spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
+@query(
+    "normalise_labels",
+    "Accident_Index:i label:s",
+    f"SELECT Accident_Index, Accident_Severity AS label FROM accidents WHERE {_KEPT}",
+    ["accidents"],
+)
+def normalise_labels(d):
+    codes = fe.encode_target(d.accidents).withColumnRenamed(_LABEL, "label")
+    return fe.normalise_labels(codes, "label")

@@ -350,3 +350,62 @@ def validate_clean_split_flow(d):
 )
 def class_balance_gate(d):
     return profile.class_distribution(d.accidents, "Accident_Severity").withColumn("enough", (F.col("pct") >= 5).cast("int"))
+
+
+_GENERIC = [
+    ("range", "Latitude", "Latitude < 49 OR Latitude > 61"),
+    ("range", "Longitude", "Longitude < -11 OR Longitude > 2"),
+    ("range", "Speed_limit", "Speed_limit NOT IN (20, 30, 40, 50, 60, 70)"),
+    ("business_rule", "Accident_Severity", "Accident_Severity IS NULL OR Accident_Severity NOT IN ('Fatal', 'Serious', 'Slight')"),
+    ("business_rule", "Number_of_Casualties", "Number_of_Casualties > 50"),
+]
+
+
+@query(
+    "generic_checks",
+    _FINDING,
+    " UNION ALL ".join(_finding("generic", check, subject, "violations", _bad(rule), "accidents") for check, subject, rule in _GENERIC),
+    ["accidents"],
+)
+def generic_checks(d):
+    return quality.generic_checks(d.accidents)
+
+
+@query(
+    "column_presence_guard",
+    "check_name:s subject:s metric:s value:f detail:s",
+    f"""SELECT 'severity_domain' AS check_name, 'Accident_Severity' AS subject, 'invalid' AS metric,
+          {_bad("Accident_Severity NOT IN ('Slight', 'Serious', 'Fatal', '1', '2', '3')")} AS value, NULL AS detail FROM accidents
+        UNION ALL SELECT * FROM (VALUES ('speed_domain', 'Speed_limit', 'skipped', NULL, 'SKIP missing Speed_limit'),
+          ('coordinate_bounds', 'Latitude,Longitude', 'skipped', NULL, 'SKIP missing Latitude,Longitude'),
+          ('vehicle_count', 'Number_of_Vehicles', 'skipped', NULL, 'SKIP missing Number_of_Vehicles'),
+          ('weekday_domain', 'Day_of_Week', 'skipped', NULL, 'SKIP missing Day_of_Week'),
+          ('vehicle_age', 'Age_of_Vehicle', 'skipped', NULL, 'SKIP missing Age_of_Vehicle'),
+          ('sex_domain', 'Sex_of_Driver', 'skipped', NULL, 'SKIP missing Sex_of_Driver'),
+          ('age_bands', 'Age_Band_of_Driver', 'skipped', NULL, 'SKIP missing Age_Band_of_Driver'))""",
+    ["accidents"],
+)
+def column_presence_guard(d):
+    return quality.check_accuracy(d.accidents.select("Accident_Index", "Accident_Severity"), d.vehicles.select("Accident_Index"))
+
+
+@query(
+    "missing_columns",
+    "column:s rows:i",
+    "SELECT c AS \"column\", (SELECT count(*) FROM weather) AS rows FROM (SELECT unnest(['dewpoint', 'visibility']) AS c)",
+    ["weather"],
+)
+def missing_columns(d):
+    absent = quality.missing_columns(d.weather, [*presets.WEATHER_COLUMNS, "visibility", "dewpoint"])
+    return d.weather.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*[F.lit(c) for c in absent])).alias("column"), "rows")
+
+
+@query(
+    "column_types",
+    "column:s dtype:s rows:i",
+    """SELECT c AS "column", t AS dtype, (SELECT count(*) FROM events) AS rows FROM (VALUES ('event_id', 'bigint'), ('user_id', 'bigint'), ('event_type', 'string'),
+       ('value', 'double'), ('props', 'string')) AS v(c, t)""",
+)
+def column_types(d):
+    types = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype")) for c, t in quality.column_types(d.events.drop("ts"))]
+    return d.events.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*types)).alias("e"), "rows").select("e.*", "rows")

@@ -19,6 +19,8 @@ from tarmac.session import cut_lineage
 MAX_BROADCAST_STATIONS = 2_000
 # Distances are compared to the millimetre, so engines agree on ties.
 _TIE_DECIMALS = 6
+_STATIONS_PER_CELL = 32
+_FINEST_CELL = 1e-3
 
 
 def with_suffixes(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes=("_x", "_y")) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +110,8 @@ def _search_by_grid(places: DataFrame, sites: DataFrame, lat: str, lon: str) ->
 
     A place is settled once its best candidate is no farther than the edge of the 3×3 block
     of cells it was searched in, because no station outside the block can be nearer. The
-    first cell size follows from the station density; each round makes it four times larger.
+    first cell size keeps the fullest cell small, so crowded stations are searched finely;
+    each round makes it four times larger for the places left.
     """
     box = sites.agg(
         F.count(F.lit(1)).alias("n"),
@@ -116,6 +119,12 @@ def _search_by_grid(places: DataFrame, sites: DataFrame, lat: str, lon: str) ->
         (F.max("slon") - F.min("slon")).alias("w"),
     ).first()
     size = max(math.sqrt(max(box["h"], 1e-3) * max(box["w"], 1e-3) / max(box["n"], 1)), 1e-4)
+    while size > _FINEST_CELL:
+        cell = [F.floor(F.col(c) / size).alias(c) for c in ("slat", "slon")]
+        fullest = sites.select(*cell).groupBy("slat", "slon").count().agg(F.max("count")).first()[0] or 0
+        if fullest <= _STATIONS_PER_CELL:
+            break
+        size /= 4
     todo = cut_lineage(places.select(col(lat).cast("double").alias("plat"), col(lon).cast("double").alias("plon")))
     settled: DataFrame | None = None
     while True:

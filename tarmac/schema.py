@@ -19,7 +19,7 @@ def col(name: str) -> Column:
 
 def safe_name(name: str) -> str:
     """Letters, digits and underscores only; a leading digit gets an ``X``."""
-    clean = re.sub(r"[^A-Za-z0-9_]+", "_", name).strip("_")
+    clean = re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_")
     return "X" + clean if clean[:1].isdigit() else clean
 
 
