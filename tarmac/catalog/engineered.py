@@ -309,7 +309,7 @@ def rush_hour_flag(d):
     ["accidents"],
 )
 def exact_value_flags(d):
-    return fe.notebook_flags(d.accidents)
+    return fe.exact_value_flags(d.accidents)
 
 
 @query(

@@ -246,8 +246,8 @@ def rush_hour_flag(df: DataFrame, time: str = "Time", on_missing: str = "skip")
     return df.withColumn("is_rush_hour", fx.flag(hour.between(7, 9) | hour.between(16, 19)))
 
 
-def notebook_flags(df: DataFrame, day: str = "Day_of_Week", light: str = "Light_Conditions", weather: str = "Weather_Conditions") -> DataFrame:
-    """Variants by exact value: weekend from the day name, daylight, weather other than fine."""
+def exact_value_flags(df: DataFrame, day: str = "Day_of_Week", light: str = "Light_Conditions", weather: str = "Weather_Conditions") -> DataFrame:
+    """Flags by exact value: weekend from the day name, daylight, weather other than fine."""
     out = df
     if day in df.columns:
         out = out.withColumn("is_weekend", fx.flag(fx.is_member(day, ["Saturday", "Sunday"])))

@@ -69,41 +69,31 @@ def impute_for_balancing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fill_forward_back(df: DataFrame, columns: Sequence[str], order_by: str, ranges: int | None = None) -> DataFrame:
     """Last non-null value in the given order, then the next one for leading nulls.
 
-    Each column keeps, per order range, its first and last non-null value; a range hands
-    those on, so no task sees the whole order. ``order_by`` must identify rows, which also
-    keeps the ranges even: no value of it can be hot.
+    Each order range hands on the last non-null value it holds, so no task sees the whole
+    order. Only rows before the first non-null value look forward, and for all of them that
+    is the same value. ``order_by`` must identify rows, which also keeps the ranges even: no
+    value of it can be hot.
     """
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = col(order_by)
-    limits = _range_limits(df, order_by, ranges)
-    placed = df.withColumn("_range", _range_of(key, limits))
+    placed = df.withColumn("_range", _range_of(key, _range_limits(df, order_by, ranges)))
     edge_aggs = []
     for c in columns:
-        edge_aggs += [
-            F.min_by(col(c), F.when(col(c).isNotNull(), key)).alias(f"{c}#first"),
-            F.max_by(col(c), F.when(col(c).isNotNull(), key)).alias(f"{c}#last"),
-        ]
-    edges = placed.groupBy("_range").agg(*edge_aggs)  # at most `ranges` + 1 rows
+        known = F.when(col(c).isNotNull(), key)
+        edge_aggs += [F.min_by(col(c), known).alias(f"{c}#first"), F.max_by(col(c), known).alias(f"{c}#last")]
+    edges = placed.groupBy("_range").agg(*edge_aggs)  # at most `ranges` rows
     steps = Window.partitionBy(F.lit(0)).orderBy("_range")
+    earlier = steps.rowsBetween(Window.unboundedPreceding, -1)
+    everywhere = steps.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = edges.select(
         "_range",
-        *[
-            F.last(col(f"{c}#last"), ignorenulls=True).over(steps.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{c}#before")
-            for c in columns
-        ],
-        *[
-            F.first(col(f"{c}#first"), ignorenulls=True).over(steps.rowsBetween(1, Window.unboundedFollowing)).alias(f"{c}#after")
-            for c in columns
-        ],
+        *[F.last(col(f"{c}#last"), ignorenulls=True).over(earlier).alias(f"{c}#before") for c in columns],
+        *[F.first(col(f"{c}#first"), ignorenulls=True).over(everywhere).alias(f"{c}#start") for c in columns],
     )
-    inside = Window.partitionBy("_range").orderBy(key)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inside.rowsBetween(0, Window.unboundedFollowing)
+    so_far = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     seen = placed.withColumns({f"{c}#ffill": F.last(col(c), ignorenulls=True).over(so_far) for c in columns})
-    seen = seen.withColumns({f"{c}#bfill": F.first(col(c), ignorenulls=True).over(onward) for c in columns})
     joined = seen.join(F.broadcast(carried), "_range", "left")
-    filled = {c: F.coalesce(col(f"{c}#ffill"), col(f"{c}#before"), col(f"{c}#bfill"), col(f"{c}#after")) for c in columns}
+    filled = {c: F.coalesce(col(f"{c}#ffill"), col(f"{c}#before"), col(f"{c}#start")) for c in columns}
     return joined.select(*[filled[c].alias(c) if c in filled else col(c) for c in df.columns])
 
 
