@@ -14,6 +14,8 @@ from tarmac.operators import clean, order_stats, profile
 from tarmac.operators.skew import held, join_lookup, join_small_or_large
 from tarmac.schema import col, numeric_columns, string_columns
 
+LABEL_RANGES = 255
+
 
 def _fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Fill nulls; a value that does not fit an integer column widens it to double."""
@@ -185,20 +187,21 @@ def fit_labels(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
     """((level, code), is_small): codes in text order from 0; null counts as the level 'None'.
 
     Codes are positions among the distinct levels; with very many levels they are counted by
-    leading characters first, so no task sorts them all.
+    ranges between sampled levels, so no task sorts them all.
     """
     text = F.coalesce(col(column).cast("string"), F.lit("None"))
     levels, is_small = held(df.select(text.alias("level")).distinct())
     if is_small:
         ordered = sorted(r["level"] for r in levels.collect())
         return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(ordered)], "level string, code long"), True
-    placed = levels.withColumn("_range", F.substring("level", 1, 3))
+    sampled = levels.orderBy(F.xxhash64("level"), "level").limit(LABEL_RANGES).collect()
+    placed = levels.withColumn("_range", _range_of(F.col("level"), sorted(r["level"] for r in sampled)))
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select(
         "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     position = F.row_number().over(Window.partitionBy("_range").orderBy("level")) - 1
-    coded = placed.join(offsets, "_range").select("level", (F.col("offset") + position).cast("long").alias("code"))
+    coded = placed.join(F.broadcast(offsets), "_range").select("level", (F.col("offset") + position).cast("long").alias("code"))
     return coded, False
 
 

@@ -36,9 +36,9 @@ def over_missing(df: DataFrame, more_than: float = 50.0) -> DataFrame:
 def descriptive_stats(df: DataFrame, columns: Sequence[str], min_rows: int = 10, **options) -> DataFrame:
     """One row per column with at least ``min_rows`` values.
 
-    Sample standard deviation, population skewness and excess kurtosis. Moments, extremes
-    and distinct values come from the counts per distinct value, so frequent values are
-    handled once; medians come from the exact quantiles.
+    Sample standard deviation, population skewness and excess kurtosis. Moments and extremes
+    combine before the shuffle, distinct values come from the counts per value, medians from
+    the exact quantiles.
     """
     middle = exact_quantiles(df, columns, [0.5], **options)
     medians = [(c, q[0]) for c, q in middle.items() if q[0] is not None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -42,11 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     A temporary folder is used only where the session names none, as in tests.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tarmac-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or _scratch_dir()
+
+
+@functools.cache
+def _scratch_dir() -> str:
+    return tempfile.mkdtemp(prefix="tarmac-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
