@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tarmac.schema import col
 
-EXACT_STATE_LIMIT = 200_000
+# Every task may send this many values per column to the one that merges them.
+EXACT_STATE_LIMIT = 10_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
