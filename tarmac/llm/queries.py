@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, simhash, token_counts
-from tarmac.llm.common import table
+from tarmac.llm import bpe, gam, mixing, simhash, token_counts
+from tarmac.llm.common import fold, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +37,26 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.words_taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select(F.col("key").cast("long").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = gam.score_quality(texts, gam.train(texts, labels))
+    held_out = (fold("doc_id", 5) == 0).alias("held_out")
+    predicted = (F.col("score") >= gam.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out, "score", predicted)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
     "op5_token_counts": op5_token_counts,
+    "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
