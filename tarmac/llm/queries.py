@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, gam, mixing, simhash, token_counts
+from tarmac.llm import bpe, gam, mixing, simhash, token_counts, urls
 from tarmac.llm.common import fold, table
 
 
@@ -37,6 +39,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.words_taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(F.col("key").cast("long").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -55,8 +62,82 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
     "op5_token_counts": op5_token_counts,
+    "op8_urls": op8_urls,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = "(?:^|[^0-9a-z/])({})(?:$|[^0-9a-z/])".format("|".join(re.escape(r.text) for r in urls.WORD_RULES))
+_FITS = " ".join(
+    f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h}{p}:{v}'"
+    for h, p, v in sorted(
+        ((h, "/" + p, r.verdict) for r in urls.PATH_RULES for h, p in [r.text.split("/", 1)]), key=lambda x: -len(x[0] + x[1])
+    )
+)
+
+OP8_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), judged AS (
+  SELECT *, CASE {_FITS} END AS fit FROM parts
+)
+SELECT page_id, host, path, split_part(fit, ':', 1) AS rule,
+  CASE WHEN fit IS NOT NULL THEN split_part(fit, ':', 2) WHEN regexp_matches(host, '{_WORDS}') THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+#: Rows of the SQL below are summed in the order of the hash that the operator lays documents out by.
+_HASH = "CAST('0x' || substr(md5('42:' || {}), 1, 15) AS BIGINT)"
+OP9_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+    {_HASH.format("coalesce(CAST(doc_id AS VARCHAR), '')")} AS h
+  FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM totals
+), shared AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS DOUBLE)
+    / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS share
+  FROM weighed
+  WINDOW before AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, CASE WHEN 3 * source_size <= share * weight THEN CAST(3 * source_size AS DOUBLE)
+    ELSE weight * max(share) FILTER (WHERE 3 * source_size > share * weight) OVER () END AS target
+  FROM shared
+), plan AS (
+  SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS quota, CAST(ceil(source_size / 256) AS BIGINT) AS blocks
+  FROM targets WHERE source_size > 0
+), passes AS (
+  SELECT *, quota // source_size AS whole, quota % source_size AS rest FROM plan
+), multiplied AS (
+  SELECT *, [x FOR x IN range(CAST(h % blocks + 1 AS BIGINT), CAST(h % blocks + 202 AS BIGINT)) IF gcd(x, blocks) = 1][1] AS a
+  FROM (SELECT *, {_HASH.format("whole || ':' || coalesce('=' || source, '')")} AS h FROM passes)
+), partial AS (
+  SELECT source, (CAST(a AS HUGEINT) * (j + 1) - 1) % blocks AS block, least(256, rest - 256 * j) AS words
+  FROM (SELECT *, unnest(range(CAST(ceil(rest / 256) AS BIGINT))) AS j FROM multiplied)
+), laid AS (
+  SELECT doc_id, source, size, h,
+    CAST(sum(size) OVER (PARTITION BY source ORDER BY h, CAST(doc_id AS VARCHAR), size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+  FROM sized WHERE size > 0
+), pieces AS (
+  SELECT *, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block FROM laid
+), parts AS (
+  SELECT l.source, l.start, sum(greatest(0, least(l.block * 256 + p.words, l.start + l.size) - greatest(l.block * 256, l.start))) AS taken
+  FROM pieces l JOIN partial p ON l.source IS NOT DISTINCT FROM p.source AND l.block = p.block GROUP BY l.source, l.start
+), taken AS (
+  SELECT l.doc_id, l.source, l.size, coalesce(p.taken, 0) AS taken
+  FROM laid l LEFT JOIN parts p ON l.source IS NOT DISTINCT FROM p.source AND l.start = p.start
+  UNION ALL SELECT doc_id, source, size, 0 FROM sized WHERE size = 0
+)
+SELECT t.doc_id, CAST(t.size AS BIGINT) AS size, p.source_size, p.target,
+  CAST(t.taken + t.size * coalesce(w.whole, 0) AS BIGINT) AS taken
+FROM taken t JOIN targets p ON t.source IS NOT DISTINCT FROM p.source
+LEFT JOIN passes w ON t.source IS NOT DISTINCT FROM w.source
+"""
+
+ORACLES: dict[str, str] = {"op8_urls": OP8_SQL, "op9_mixing": OP9_SQL}
