@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import text_or_empty
+from tarmac.llm.common import scratch_name, text_or_empty
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 8
@@ -178,6 +178,20 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
+def round_trip_column(text: Column, path: str, pattern: str) -> Column:
+    """Struct of ``ids`` and of the ``decoded`` bytes of those ids, in one pass over the texts."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec(path, pattern)
+        for texts in batches:
+            ids = [own.encode(t or "") for t in texts]
+            decoded = [own.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+
+    return round_trip(text)
+
+
 def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the token ids of every text.
 
@@ -192,3 +206,17 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text",
 def decode_ids(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the bytes of packed token ids; the inverse of ``encode_texts``. Null ids give no bytes."""
     return df.withColumn(out_col, decode_column(F.col(ids_col), path, pattern))
+
+
+def encode_and_decode(
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    out_col: str = "decoded",
+) -> DataFrame:
+    """``encode_texts`` and ``decode_ids`` in one pass: a task keeps one worker and sends no ids back and forth."""
+    both = scratch_name(df, "_both")
+    done = df.withColumn(both, round_trip_column(text_or_empty(text_col), path, pattern))
+    return done.withColumns({ids_col: F.col(both)["ids"], out_col: F.col(both)["decoded"]}).drop(both)
