@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, gam, mixing, simhash, token_counts, urls
-from tarmac.llm.common import fold, table
+from tarmac.llm import bpe, gam, lsh, mixing, order_minhash, simhash, token_counts, urls
+from tarmac.llm.common import fold, table, text_or_empty
+from tarmac.llm.neighbours_in_order import with_next
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode_texts(texts, path, pattern).select("doc_id", "ids")
-    return bpe.decode_ids(encoded, path, pattern).select(
+    return bpe.encode_and_decode(texts, path, pattern).select(
         "doc_id",
         F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -33,12 +34,48 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lsh.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.expr("id <=> component").alias("kept")
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.with_token_counts(texts, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def _with_edits(run: list[tuple[int, str]]) -> list[tuple]:
+    """Rows of op7 for all documents of a run but the last; the next in the run lends the edit."""
+    out = []
+    own = order_minhash.signature(run[0][1])
+    for (doc_id, text), (_, following) in zip(run, run[1:], strict=False):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        changed, after = order_minhash.signature(edited), order_minhash.signature(following)
+        out.append(
+            (
+                doc_id,
+                len(text),
+                hashlib.sha256(edited.encode("utf-8")).hexdigest(),
+                order_minhash.to_hex(own),
+                order_minhash.to_hex(changed),
+                order_minhash.likeness(own, changed),
+                order_minhash.likeness(own, after),
+            )
+        )
+        own = after
+    return out
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text_or_empty("text").alias("text"))
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return with_next(texts, _with_edits, schema)
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -61,7 +98,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
+    "op4_embeddings": op4_embeddings,
     "op5_token_counts": op5_token_counts,
+    "op7_fingerprints": op7_fingerprints,
     "op8_urls": op8_urls,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
