@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, gam, lsh, mixing, order_minhash, simhash, token_counts, urls
+from tarmac.llm import bpe, gam, html, lsh, mixing, order_minhash, simhash, token_counts, urls
 from tarmac.llm.common import fold, table, text_or_empty
 from tarmac.llm.neighbours_in_order import with_next
 
@@ -25,6 +25,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -97,6 +102,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_html": op2_html,
     "op3_simhash": op3_simhash,
     "op4_embeddings": op4_embeddings,
     "op5_token_counts": op5_token_counts,
