@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, gam, html, lsh, mixing, order_minhash, simhash, token_counts, urls
+from tarmac.llm import bpe, gam, html, lsh, maxent, mixing, order_minhash, simhash, token_counts, urls
 from tarmac.llm.common import fold, table, text_or_empty
 from tarmac.llm.neighbours_in_order import with_next
 
@@ -52,6 +52,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = maxent.score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+    doc_id = F.col("id").cast("long").alias("doc_id")
+    return scored.select(doc_id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def _with_edits(run: list[tuple[int, str]]) -> list[tuple]:
     """Rows of op7 for all documents of a run but the last; the next in the run lends the edit."""
     out = []
@@ -106,6 +112,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_embeddings": op4_embeddings,
     "op5_token_counts": op5_token_counts,
+    "op6_lm": op6_lm,
     "op7_fingerprints": op7_fingerprints,
     "op8_urls": op8_urls,
     "op9_mixing": op9_mixing,
