@@ -65,8 +65,10 @@ def source_targets(sources: DataFrame, max_passes: int = MAX_PASSES) -> DataFram
 
 def _gcd(a: Column, b: Column) -> Column:
     """Euclid's steps; 93 are enough for any two 64-bit numbers."""
-    start = F.struct(a.alias("a"), b.alias("b"))
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.greatest(s["b"], F.lit(1))).alias("b")))
+    pair = lambda x, y: F.named_struct(F.lit("a"), x, F.lit("b"), y)
+    rest = lambda s: F.pmod(s["a"], F.greatest(s["b"], F.lit(1)))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], rest(s)))
+    start = pair(a, b)
     return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: s["a"])
 
 
