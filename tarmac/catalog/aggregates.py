@@ -8,9 +8,9 @@ from tarmac import presets
 from tarmac.catalog.registry import query, unpivot_sql
 from tarmac.functions import scalar as fx
 from tarmac.operators import balance, clean, correlation, features, impute, order_stats, profile, rollups
+from tarmac.sources import domain
 
 _SEVERE = "avg(CASE WHEN Accident_Severity IN ('Fatal', 'Serious') THEN 1e0 ELSE 0e0 END)"
-_ACC_TEXTS = ["Speed_limit", "Road_Type", "Light_Conditions", "Time", "Latitude", "Site_Note", "Carriageway_Hazards", "X2nd_Road_Class"]
 _NUMBERS = ["Speed_limit", "Number_of_Casualties", "Number_of_Vehicles", "Latitude", "Longitude"]
 
 
@@ -23,19 +23,19 @@ def _nulls_sql(columns):
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE nulls > 0"
 
 
-@query("null_profile", "column:s nulls:i rows:i pct:f", _nulls_sql(_ACC_TEXTS), ["accidents"])
+@query("null_profile", "column:s nulls:i rows:i pct:f", _nulls_sql(domain.ACCIDENT_COLUMNS), ["accidents"])
 def null_profile(d):
-    return profile.null_profile(d.accidents.select(*_ACC_TEXTS))
+    return profile.null_profile(d.accidents)
 
 
-@query("top_missing_columns", "column:s nulls:i pct:f", _nulls_sql(_ACC_TEXTS) + " ORDER BY nulls DESC, \"column\" LIMIT 4", ["accidents"])
+@query("top_missing_columns", "column:s nulls:i pct:f", _nulls_sql(domain.ACCIDENT_COLUMNS) + " ORDER BY nulls DESC, \"column\" LIMIT 12", ["accidents"])
 def top_missing_columns(d):
-    return profile.top_missing(d.accidents.select(*_ACC_TEXTS), 4)
+    return profile.top_missing(d.accidents)
 
 
-@query("columns_over_half_missing", "column:s pct:f", f"SELECT * FROM ({_nulls_sql(_ACC_TEXTS)}) WHERE pct > 50", ["accidents"])
+@query("columns_over_half_missing", "column:s pct:f", f"SELECT * FROM ({_nulls_sql(domain.ACCIDENT_COLUMNS)}) WHERE pct > 50", ["accidents"])
 def columns_over_half_missing(d):
-    return profile.over_missing(d.accidents.select(*_ACC_TEXTS))
+    return profile.over_missing(d.accidents)
 
 
 STATS_SQL = f"""SELECT "column", min(value) AS min, max(value) AS max, avg(value) AS mean, quantile_cont(value, 0.5) AS median,
@@ -480,23 +480,23 @@ def weekly_fatal_rolling_mean(d):
     """SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM v)) AS full_duplicates,
          count(*) - (SELECT count(*) FROM (SELECT DISTINCT Accident_Index, Vehicle_Reference FROM v)) AS composite_duplicates,
          count(*) - count(DISTINCT Accident_Index) AS key_repeats
-       FROM (SELECT Accident_Index, Vehicle_Reference, Year, Sex_of_Driver FROM vehicles) AS v""".replace(" FROM v)", " FROM (SELECT Accident_Index, Vehicle_Reference, Year, Sex_of_Driver FROM vehicles))"),
+       FROM vehicles AS v""".replace(" FROM v)", " FROM vehicles)"),
     ["vehicles"],
 )
 def flag_duplicates(d):
-    rows = d.vehicles.select("Accident_Index", "Vehicle_Reference", "Year", "Sex_of_Driver")
-    return profile.duplicate_counts(rows, ["Accident_Index", "Vehicle_Reference"], "Accident_Index")
+    return profile.duplicate_counts(d.vehicles, ["Accident_Index", "Vehicle_Reference"], "Accident_Index")
 
 
 @query(
     "duplicate_rows",
     "Accident_Index:i Vehicle_Reference:i Year:i",
-    """SELECT Accident_Index, Vehicle_Reference, Year FROM (SELECT *, count(*) OVER (PARTITION BY Accident_Index, Vehicle_Reference, Year) AS n
-       FROM vehicles) WHERE n > 1""",
+    f"""SELECT Accident_Index, Vehicle_Reference, Year FROM (SELECT *, count(*) OVER (PARTITION BY {', '.join(domain.VEHICLE_COLUMNS)}) AS n
+       FROM (SELECT * FROM vehicles UNION ALL SELECT * FROM vehicles WHERE Vehicle_Reference = 2)) WHERE n > 1""",
     ["vehicles"],
 )
 def duplicate_rows(d):
-    return profile.duplicate_rows(d.vehicles.select("Accident_Index", "Vehicle_Reference", "Year"))
+    # The table has no copies of its own: its second vehicles are added once more.
+    return profile.duplicate_rows(d.vehicles.unionByName(d.vehicles.where("Vehicle_Reference = 2")))
 
 
 @query(

@@ -90,12 +90,12 @@ def knn_within_class_many_chunks(d):
     return neighbours.knn(d.embeddings, "vec_id", "embedding", 3, within="label", chunk_rows=24, visitors=64)
 
 
-_FEATURES = [f"f{i}" for i in range(6)]
-_PICK = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(6))
+_FEATURES = [f"f{i}" for i in range(64)]
+_PICK = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(64))
 _LIST = "[" + ", ".join(_FEATURES) + "]"
 
 
-def embedding_features(d, width: int = 6):
+def embedding_features(d, width: int = 64):
     return d.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(width)])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac import presets
+from tarmac.sources import domain
 from tarmac.catalog.registry import query
 from tarmac.functions import scalar as fx
 from tarmac.operators import clean, features, impute, profile, rollups
@@ -76,12 +77,11 @@ def require_non_null(d):
 @query(
     "drop_any_null",
     "Accident_Index:i",
-    """SELECT Accident_Index FROM accidents WHERE Speed_limit IS NOT NULL AND Road_Type IS NOT NULL AND Light_Conditions IS NOT NULL
-         AND Time IS NOT NULL AND Latitude IS NOT NULL""",
-    ["accidents"],
+    "SELECT Accident_Index FROM vehicles WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in domain.VEHICLE_COLUMNS),
+    ["vehicles"],
 )
 def drop_any_null(d):
-    return clean.drop_any_null(d.accidents.select("Accident_Index", "Speed_limit", "Road_Type", "Light_Conditions", "Time", "Latitude"))
+    return clean.drop_any_null(d.vehicles)
 
 
 @query(
@@ -221,11 +221,11 @@ def drop_unmapped_labels(d):
 @query(
     "distinct_rows",
     "Accident_Index:i Vehicle_Reference:i Year:i",
-    "SELECT DISTINCT Accident_Index, Vehicle_Reference, Year FROM vehicles",
+    "SELECT DISTINCT * FROM (SELECT * FROM vehicles UNION ALL SELECT * FROM vehicles WHERE Vehicle_Reference = 2)",
     ["vehicles"],
 )
 def distinct_rows(d):
-    return clean.distinct_rows(d.vehicles.select("Accident_Index", "Vehicle_Reference", "Year"))
+    return clean.distinct_rows(d.vehicles.unionByName(d.vehicles.where("Vehicle_Reference = 2")))
 
 
 @query(

@@ -10,7 +10,7 @@ from tarmac.catalog.integration import gb_stations
 from tarmac.catalog.registry import query, unpivot_sql
 from tarmac.operators import balance, clean, impute, joins, normality, profile, quality
 from tarmac.session import new_path
-from tarmac.sources import snapshots
+from tarmac.sources import domain, snapshots
 
 _FINDING = "dimension:s check_name:s subject:s metric:s value:f detail:s is_issue:i"
 _DAYS = "('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday')"
@@ -76,8 +76,6 @@ def check_consistency(d):
     return quality.check_consistency(d.accidents, d.vehicles, "Date_Text")
 
 
-_A_COLUMNS = ["Accident_Index", "Accident_Severity", "Date", "Time", "Speed_limit", "Latitude", "Longitude", "Carriageway_Hazards", "Site_Note"]
-_V_COLUMNS = ["Accident_Index", "Vehicle_Reference", "make", "Age_of_Vehicle", "Sex_of_Driver"]
 
 
 def _missing_sql(table, columns):
@@ -95,14 +93,14 @@ def _missing_sql(table, columns):
 @query(
     "check_completeness",
     _FINDING,
-    _missing_sql("accidents", _A_COLUMNS) + " UNION ALL " + _missing_sql("vehicles", _V_COLUMNS),
+    _missing_sql("accidents", domain.ACCIDENT_COLUMNS) + " UNION ALL " + _missing_sql("vehicles", domain.VEHICLE_COLUMNS),
     ["accidents", "vehicles"],
 )
 def check_completeness(d):
-    return quality.check_completeness(d.accidents.select(*_A_COLUMNS), d.vehicles.select(*_V_COLUMNS))
+    return quality.check_completeness(d.accidents, d.vehicles)
 
 
-_PAIRS = "(SELECT Accident_Index, Vehicle_Reference, make, Sex_of_Driver FROM accidents LEFT JOIN vehicles USING (Accident_Index))"
+_PAIRS = f"(SELECT a.*, {', '.join('v.' + c + ' AS v_' + c for c in domain.VEHICLE_COLUMNS if c not in ('Accident_Index', 'Vehicle_Reference'))}, Vehicle_Reference FROM accidents AS a LEFT JOIN vehicles AS v USING (Accident_Index))"
 
 
 @query(
@@ -118,7 +116,7 @@ _PAIRS = "(SELECT Accident_Index, Vehicle_Reference, make, Sex_of_Driver FROM ac
     ["accidents", "vehicles"],
 )
 def check_uniqueness(d):
-    merged = joins.merge_details(d.accidents.select("Accident_Index"), d.vehicles.select("Accident_Index", "Vehicle_Reference", "make", "Sex_of_Driver"))
+    merged = joins.merge_details(d.accidents, d.vehicles)
     return quality.check_uniqueness(merged)
 
 
@@ -268,7 +266,7 @@ def check_weather(d):
     return quality.check_weather(d.weather)
 
 
-_ACC = "Accident_Index Accident_Severity Speed_limit Latitude Longitude Number_of_Casualties".split()
+_ACC = domain.ACCIDENT_COLUMNS
 _SCORE_SQL = f"""WITH t AS (SELECT {', '.join(_ACC)} FROM accidents),
   parts AS (SELECT ({' + '.join(f'(SELECT CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END FROM t)' for c in _ACC)}) AS nulls,
     (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM t WHERE Latitude < 49 OR Latitude > 61)
@@ -277,12 +275,12 @@ _SCORE_SQL = f"""WITH t AS (SELECT {', '.join(_ACC)} FROM accidents),
     + (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM t WHERE Accident_Severity IS NULL OR Accident_Severity NOT IN ('Fatal', 'Serious', 'Slight'))
     + (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM t WHERE Number_of_Casualties > 50) AS broken,
     (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS copies, (SELECT count(*) FROM t) AS n)
-  SELECT n AS total_records, 6 AS total_columns, nulls + broken + copies AS issues_found, greatest(0e0, 1 - (nulls + broken + copies) / CAST(n + 6 AS DOUBLE)) AS validation_score FROM parts"""
+  SELECT n AS total_records, {len(_ACC)} AS total_columns, nulls + broken + copies AS issues_found, greatest(0e0, 1 - (nulls + broken + copies) / CAST(n + {len(_ACC)} AS DOUBLE)) AS validation_score FROM parts"""
 
 
 @query("validation_score", "total_records:i total_columns:i issues_found:i validation_score:f", _SCORE_SQL, ["accidents"])
 def validation_score(d):
-    return quality.validation_score(d.accidents.select(*_ACC))
+    return quality.validation_score(d.accidents)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,10 +42,17 @@ def local_session(cpus: int = 8, memory: str = "12g", app: str = "tarmac") -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
-    A temporary folder is used only where the session names none, as in tests.
+    A temporary folder is used only where the session names none and runs in one process, as in
+    tests; on a cluster each executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or _scratch_dir()
+    return named or scratch_dir(spark.sparkContext.master)
+
+
+def scratch_dir(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _scratch_dir()
 
 
 @functools.cache

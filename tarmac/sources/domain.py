@@ -13,6 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarmac import presets
 
+#: Columns of the views, for oracles about every column.
+ACCIDENT_COLUMNS = (
+    "Accident_Index Reporter_Key Accident_Severity Date Date_Text Time Year Day_of_Week Speed_limit Road_Type Light_Conditions "
+    "Weather_Conditions Road_Surface_Conditions Urban_or_Rural_Area Latitude Longitude Number_of_Vehicles Number_of_Casualties "
+    "X1st_Road_Class X2nd_Road_Class Carriageway_Hazards Site_Note Junction_Control Junction_Detail Pedestrian_Crossing "
+    "Did_Police_Officer_Attend_Scene_of_Accident"
+).split()
+VEHICLE_COLUMNS = (
+    "Accident_Index Vehicle_Reference make Vehicle_Type Engine_Capacity_CC Age_of_Driver Age_Band_of_Driver Sex_of_Driver "
+    "Age_of_Vehicle Year Propulsion_Code Towing_and_Articulation X1st_Point_of_Impact Vehicle_Manoeuvre Junction_Location "
+    "Journey_Purpose_of_Driver Driver_Home_Area_Type"
+).split()
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "labels"]
 
 
