@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarmac import presets
 from tarmac.catalog.aggregates import ranked_sql
 from tarmac.catalog.registry import case_map, query
+from tarmac.functions import scalar as fx
 from tarmac.operators import correlation, isolation, models, select
 from tarmac.operators import features as fe
 from tarmac.plans import flows
@@ -100,18 +101,18 @@ def correlation_filter(d):
 @query("select_model_based", "feature:s score:f")
 def select_model_based(d):
     rows = model_rows(d).withColumn("y", models.label_index(_LABEL, presets.LABELS))
-    return select.select_model_based(rows, _FEATURES, "y", top_k=5, trees=20, depth=5)[1]
+    return select.select_model_based(rows, _FEATURES, "y", top_k=5)[1]
 
 
 @query("select_rfecv", "feature:s ranking:i support:i score:f")
 def select_rfecv(d):
-    return select.select_rfecv(model_rows(d), _FEATURES, _LABEL, "Accident_Index", min_features=4, step=2, folds=3, max_iter=20)[1]
+    return select.select_rfecv(model_rows(d), _FEATURES, _LABEL, "Accident_Index", min_features=4)[1]
 
 
 @query("compare_selectors", "method:s feature:s")
 def compare_selectors(d):
     rows = model_rows(d).withColumn("y", models.label_index(_LABEL, presets.LABELS))
-    found = select.compare_selectors(rows, _FEATURES, "y", "Accident_Index", min_features=5, step=4, folds=3, max_iter=10)
+    found = select.compare_selectors(rows, _FEATURES, "y", "Accident_Index", min_features=5)
     pairs = [(m, f) for m in ("rfecv", "model_based", "selected", "common") for f in found[m]]
     return d.spark.createDataFrame(pairs, "method string, feature string")
 
@@ -167,32 +168,51 @@ def baseline_uniform(d):
     return models.baseline(rows, rows, _LABEL, "Accident_Index", "uniform")
 
 
-_SCORED_SPEC = "Accident_Index:i prediction:s confidence:f"
+SCORED_SPEC = "Accident_Index:i has_label:i sums_to_one:i follows_scores:i confidence_is_largest:i"
+_ELIGIBLE = f"""FROM accidents WHERE {_KEPT} AND Speed_limit IS NOT NULL AND Latitude IS NOT NULL AND Longitude IS NOT NULL"""
+SCORED_SQL = f"SELECT Accident_Index, 1 AS has_label, 1 AS sums_to_one, 1 AS follows_scores, 1 AS confidence_is_largest {_ELIGIBLE}"
+
+
+def checked_scores(scored, thresholds=None):
+    """What any model's output must hold, row by row: all flags are 1."""
+    p = [F.col("probability_map")[name] for name in presets.LABELS]
+    margins = p if thresholds is None else [x - t for x, t in zip(p, thresholds, strict=True)]
+    own = F.array_max(F.array(*[F.when(F.col("prediction") == name, m) for name, m in zip(presets.LABELS, margins, strict=True)]))
+    largest = F.greatest(*margins)
+    # No class over its threshold: the most probable one is taken.
+    follows = own == largest if thresholds is None else F.when(largest > 0, own == largest).otherwise(own.isNotNull())
+    flags = {
+        "has_label": F.col("prediction").isin(*presets.LABELS),
+        "sums_to_one": F.abs(sum(p[1:], p[0]) - 1.0) < 1e-9,
+        "follows_scores": follows,
+        "confidence_is_largest": F.col("confidence") == F.greatest(*p),
+    }
+    return scored.select("Accident_Index", *[F.coalesce(v, F.lit(False)).cast("int").alias(k) for k, v in flags.items()])
 
 
-@query("logistic_regression", _SCORED_SPEC)
+@query("logistic_regression", SCORED_SPEC, SCORED_SQL, ["accidents"])
 def logistic_regression(d):
     rows = model_rows(d)
-    return models.fit_logistic(rows, _LABEL, _FEATURES, max_iter=30).transform(rows)
+    return checked_scores(models.fit_logistic(rows, _LABEL, _FEATURES).transform(rows))
 
 
-@query("random_forest", _SCORED_SPEC)
+@query("random_forest", SCORED_SPEC, SCORED_SQL, ["accidents"])
 def random_forest(d):
     rows = model_rows(d)
-    return models.fit_forest(rows, _LABEL, _FEATURES, trees=20, depth=6).transform(rows)
+    return checked_scores(models.fit_forest(rows, _LABEL, _FEATURES, trees=20, depth=6).transform(rows))
 
 
-@query("boosted_trees", _SCORED_SPEC)
+@query("boosted_trees", SCORED_SPEC, SCORED_SQL, ["accidents"])
 def boosted_trees(d):
     rows = model_rows(d)
-    return models.fit_boosted(rows, _LABEL, _FEATURES, iterations=5, depth=3).transform(rows)
+    held = fx.unit_hash(F.col("Accident_Index"), 7) < 0.2
+    return checked_scores(models.fit_boosted(rows, _LABEL, _FEATURES, iterations=500, depth=5, subsample=0.8, validation=held).transform(rows))
 
 
-@query("score_batch", "Accident_Index:i prediction:s fatal:f serious:f slight:f confidence:f")
+@query("score_batch", SCORED_SPEC, SCORED_SQL, ["accidents"])
 def score_batch(d):
-    rows = model_rows(d)
-    out = models.fit_logistic(rows, _LABEL, _FEATURES, max_iter=20).transform(rows, [0.1, 0.2, 0.5])
-    return out.withColumns({name.lower(): F.col("probability_map")[name] for name in presets.LABELS})
+    rows, thresholds = model_rows(d), [0.1, 0.2, 0.5]
+    return checked_scores(models.fit_logistic(rows, _LABEL, _FEATURES).transform(rows, thresholds), thresholds)
 
 
 @query("hyperparameter_search", "trial:i macro_f1:f threshold_fatal:f threshold_serious:f threshold_slight:f")
@@ -209,7 +229,7 @@ def hyperparameter_search(d):
 def train_and_evaluate(d):
     prepared = flows.split_balance_scale(model_rows(d), _LABEL, "Accident_Index", _FEATURES).rows
     fitters = {
-        "logistic": lambda t: models.fit_logistic(t, _LABEL, _FEATURES, max_iter=20),
+        "logistic": lambda t: models.fit_logistic(t, _LABEL, _FEATURES),
         "forest": lambda t: models.fit_forest(t, _LABEL, _FEATURES, trees=10, depth=5),
     }
     return flows.train_and_evaluate(prepared, _LABEL, _FEATURES, fitters)

@@ -166,25 +166,22 @@ def check_timeliness(d):
 
 _DIST = ["Speed_limit", "Number_of_Casualties"]
 _STATS = "min max mean median std skewness kurtosis n_valid cardinality".split()
-_DIST_SQL = f"""SELECT 'distribution' AS dimension, 'descriptive_stats' AS check_name, 'accidents.' || "column" AS subject, metric, value, NULL AS detail, false AS is_issue
+def _profile_sql(dimension, table, columns):
+    values = f"(SELECT * FROM {unpivot_sql(table, columns)} WHERE value IS NOT NULL)"
+    return f"""SELECT '{dimension}' AS dimension, 'descriptive_stats' AS check_name, '{table}.' || "column" AS subject, metric, value, NULL AS detail, false AS is_issue
   FROM (UNPIVOT (SELECT "column", {', '.join(f'round(CAST({m} AS DOUBLE), 3) AS {m}' for m in _STATS)} FROM (
     SELECT "column", min(value) AS min, max(value) AS max, avg(value) AS mean, quantile_cont(value, 0.5) AS median, stddev_samp(value) AS std,
       avg(pow(value - mu, 3)) / pow(stddev_pop(value), 3) AS skewness, avg(pow(value - mu, 4)) / pow(var_pop(value), 2) - 3 AS kurtosis,
       count(*) AS n_valid, count(DISTINCT value) AS cardinality
-    FROM (SELECT *, avg(value) OVER (PARTITION BY "column") AS mu FROM {unpivot_sql('accidents', _DIST)} WHERE value IS NOT NULL) GROUP BY "column"))
+    FROM (SELECT *, avg(value) OVER (PARTITION BY "column") AS mu FROM {values}) GROUP BY "column" HAVING count(*) >= 10))
     ON {', '.join(_STATS)} INTO NAME metric VALUE value)
-  UNION ALL SELECT 'distribution', 'value_counts', 'accidents.Road_Type', Road_Type, count(*), NULL, false FROM accidents WHERE Road_Type IS NOT NULL GROUP BY Road_Type
-  UNION ALL SELECT 'distribution', 'histogram', 'accidents.' || "column", 'bin_' || CAST(bin AS VARCHAR), n, NULL, false FROM (
-    WITH v AS (SELECT * FROM {unpivot_sql('accidents', _DIST)} WHERE value IS NOT NULL),
+  UNION ALL SELECT '{dimension}', 'histogram', '{table}.' || "column", 'bin_' || CAST(bin AS VARCHAR), n, NULL, false FROM (
+    WITH v AS {values},
       e AS (SELECT "column", min(value) AS lo, max(value) AS hi FROM v GROUP BY "column"),
       b AS (SELECT v."column", CAST(least(floor((value - lo) / (hi - lo) * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM v JOIN e USING ("column") GROUP BY 1, 2),
       s AS (SELECT e."column", unnest(range(10)) AS bin FROM e)
-    SELECT s."column", s.bin, coalesce(b.n, 0) AS n FROM s LEFT JOIN b ON s."column" = b."column" AND s.bin = b.bin)"""
-
-
-@query("check_distribution", _FINDING, _DIST_SQL, ["accidents"])
-def check_distribution(d):
-    return quality.check_distribution(d.accidents, "accidents", _DIST, ["Road_Type"], ks=False)
+    SELECT s."column", s.bin, coalesce(b.n, 0) AS n FROM s LEFT JOIN b ON s."column" = b."column" AND s.bin = b.bin)
+  UNION ALL {_ks_findings_sql(dimension, 'ks_normal', table, columns)}"""
 
 
 # The error function by Abramowitz and Stegun 7.1.26 is good to 1.5e-7: enough for 4 decimals of a distance.
@@ -193,12 +190,40 @@ _T = f"(1 / (1 + 0.3275911e0 * abs({_Z})))"
 _ERF = f"""(sign({_Z}) * (1 - (((((1.061405429e0 * {_T} - 1.453152027e0) * {_T}) + 1.421413741e0) * {_T} - 0.284496736e0) * {_T} + 0.254829592e0) * {_T} * exp(-({_Z}) * ({_Z}))))"""
 
 
-def _ks_sql(column):
+def _ks_sql(column, table="accidents"):
     return f"""SELECT '{column}' AS "column", max(greatest(abs(upto / nt - cdf), abs(cdf - (upto - n) / nt))) AS statistic, max(nt) AS n FROM (
       SELECT n, nt, CAST(sum(n) OVER (ORDER BY x) AS DOUBLE) AS upto, 0.5e0 * (1 + {_ERF}) AS cdf FROM (
-        SELECT x, n, (SELECT avg(CAST({column} AS DOUBLE)) FROM accidents) AS mu, (SELECT stddev_samp(CAST({column} AS DOUBLE)) FROM accidents) AS sd,
-          CAST((SELECT count({column}) FROM accidents) AS DOUBLE) AS nt
-        FROM (SELECT CAST({column} AS DOUBLE) AS x, count(*) AS n FROM accidents WHERE {column} IS NOT NULL GROUP BY 1)))"""
+        SELECT x, n, (SELECT avg(CAST({column} AS DOUBLE)) FROM {table}) AS mu, (SELECT stddev_samp(CAST({column} AS DOUBLE)) FROM {table}) AS sd,
+          CAST((SELECT count({column}) FROM {table}) AS DOUBLE) AS nt
+        FROM (SELECT CAST({column} AS DOUBLE) AS x, count(*) AS n FROM {table} WHERE {column} IS NOT NULL GROUP BY 1)))"""
+
+
+# Kolmogorov's distribution with Stephens' correction, as a series.
+_KS_T = "((sqrt(n) + 0.12e0 + 0.11e0 / sqrt(n)) * statistic)"
+_KS_P = f"CASE WHEN {_KS_T} < 0.2 THEN 1e0 ELSE greatest(0e0, least(1e0, list_sum([(CASE WHEN k % 2 = 1 THEN 2e0 ELSE -2e0 END) * exp(-2e0 * k * k * {_KS_T} * {_KS_T}) FOR k IN range(1, 31)]))) END"
+
+
+def _ks_findings_sql(dimension, check, table, columns, over=None):
+    found = " UNION ALL ".join(_ks_sql(c, over or table) for c in columns)
+    return f"""SELECT '{dimension}' AS dimension, '{check}' AS check_name, '{table}.' || "column" AS subject, metric, value, reading AS detail, false AS is_issue FROM (
+      UNPIVOT (SELECT "column", CASE WHEN p >= 0.05 THEN 'normal' ELSE 'not normal' END AS reading, round(statistic, 3) AS statistic, round(p, 3) AS p_value
+        FROM (SELECT *, {_KS_P} AS p FROM ({found}) WHERE n >= 10)) ON statistic, p_value INTO NAME metric VALUE value)"""
+
+
+def _sampled_sql(table, column, key):
+    return f"(SELECT {column} FROM {table} WHERE {column} IS NOT NULL ORDER BY CAST('0x' || substr(md5('42:' || CAST({key} AS STRING)), 1, 15) AS BIGINT) LIMIT 5000)"
+
+
+_DIST_SQL = f"""{_profile_sql('distribution', 'accidents', _DIST)}
+  UNION ALL SELECT 'distribution', 'value_counts', 'accidents.Road_Type', Road_Type, count(*), NULL, false FROM accidents WHERE Road_Type IS NOT NULL GROUP BY Road_Type
+  UNION ALL """ + " UNION ALL ".join(
+    _ks_findings_sql("distribution", "ks_normal_sampled", "accidents", [c], _sampled_sql("accidents", c, "Accident_Index")) for c in _DIST
+)
+
+
+@query("check_distribution", _FINDING, _DIST_SQL, ["accidents"])
+def check_distribution(d):
+    return quality.check_distribution(d.accidents, "accidents", _DIST, ["Road_Type"], sample_key="Accident_Index")
 
 
 @query(
@@ -212,9 +237,15 @@ def ks_normal(d):
     return found.select("column", "n", F.round("statistic", 4).alias("statistic"))
 
 
-@query("ks_normal_sampled", "column:s n:i statistic:f p_value:f is_normal:i")
+@query(
+    "ks_normal_sampled",
+    "column:s n:i statistic:f p_value:f is_normal:i",
+    f"""SELECT "column", n, round(statistic, 4) AS statistic, round(p, 3) AS p_value, CASE WHEN p >= 0.05 THEN 1 ELSE 0 END AS is_normal
+        FROM (SELECT *, {_KS_P} AS p FROM ({_ks_sql('value', _sampled_sql('events', 'value', 'event_id'))}))""",
+)
 def ks_normal_sampled(d):
-    return normality.ks_normal_sampled(d.events, "value", "event_id")
+    found = normality.ks_normal_sampled(d.events, "value", "event_id")
+    return found.withColumns({"statistic": F.round("statistic", 4), "p_value": F.round("p_value", 3)})
 
 
 @query(
@@ -258,7 +289,7 @@ def _weather_sql():
         parts.append(_finding("weather_distribution", "weather_missing", c, "pct_null", f"round(count(*) FILTER (WHERE {c} IS NULL) * 100e0 / count(*), 2)", "weather", "false"))
         parts.append(_finding("weather_distribution", "weather_missing", c, "over_limit", f"CASE WHEN count(*) FILTER (WHERE {c} IS NULL) * 100e0 / count(*) > 20 THEN 1 ELSE 0 END", "weather"))
         parts.append(_finding("weather_distribution", "physical_bounds", c, "out_of_bounds", _bad(f"{c} < {low} OR {c} > {high}"), "weather"))
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join([*parts, _profile_sql("weather_distribution", "weather", presets.WEATHER_COLUMNS)])
 
 
 @query("check_weather", _FINDING, _weather_sql(), ["weather"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac import presets
-from tarmac.catalog.learning import _FEATURES, _LABEL, model_rows
+from tarmac.catalog.learning import _FEATURES, _KEPT, _LABEL, SCORED_SPEC, SCORED_SQL, checked_scores, model_rows
 from tarmac.catalog.registry import case_map, query
 from tarmac.operators import features as fe
 from tarmac.operators import models
@@ -42,9 +42,9 @@ def row_local_features_stream(d):
     return d.spark.read.parquet(path)
 
 
-@query("score_stream", "Accident_Index:i prediction:s confidence:f")
+@query("score_stream", SCORED_SPEC, SCORED_SQL.replace(_KEPT, "true"), ["accidents"])
 def score_stream(d):
-    model = models.fit_logistic(model_rows(d), _LABEL, _FEATURES, max_iter=20)
+    model = models.fit_logistic(model_rows(d), _LABEL, _FEATURES)
 
     def prepare(df):
         out = fe.road_surface_flag(fe.lighting_features(fe.urban_flag(fe.road_risk_score(df))))
@@ -52,6 +52,6 @@ def score_stream(d):
 
     accidents = domain.view_over(d.spark, "accidents", {"orders": _stream(d, "orders")})
     path = new_path(d.spark, "scored")
-    out = scoring.score_stream(accidents, model, prepare).select("Accident_Index", "prediction", "confidence")
+    out = scoring.score_stream(accidents, model, prepare).select("Accident_Index", "prediction", "probability_map", "confidence")
     scoring.run_to_table(out, path, new_path(d.spark, "ckpt"))
-    return d.spark.read.parquet(path)
+    return checked_scores(d.spark.read.parquet(path))

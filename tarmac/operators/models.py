@@ -19,6 +19,7 @@ from tarmac import presets
 from tarmac.functions import scalar as fx
 from tarmac.operators import balance, evaluate
 from tarmac.schema import col
+from tarmac.session import cut_lineage
 
 
 @dataclass
@@ -90,7 +91,7 @@ def fit_logistic(
     features: Sequence[str],
     labels: Sequence[str] = presets.LABELS,
     c: float = 0.1,
-    max_iter: int = 200,
+    max_iter: int = 2_000,
     weights: Mapping[str, float] | None = None,
     require_all: bool = False,
 ) -> Scored:
@@ -133,18 +134,31 @@ def fit_boosted(
     step: float = 0.1,
     min_leaf: int = 1,
     subsample: float = 1.0,
+    feature_share: float = 1.0,
+    min_gain: float = 0.0,
+    validation: Column | None = None,
+    tolerance: float = 0.01,
     weights: Mapping[str, float] | None = None,
     require_all: bool = False,
     seed: int = 42,
     parallelism: int = 3,
 ) -> Scored:
-    """Boosted trees, one against the rest per class, with shares of the class scores as probabilities."""
+    """Boosted trees, one against the rest per class, with shares of the class scores as probabilities.
+
+    Rows that ``validation`` marks are not trained on: a class stops adding trees once its error
+    on them no longer falls by ``tolerance``. ``feature_share`` of the features is tried at each
+    split, and a split must gain ``min_gain``. Spark's trees have no penalty on leaf values.
+    """
     rows, _ = _training(df, label, labels, weights, require_all)
+    # Each class fits on the same rows; they are computed once.
+    rows = cut_lineage(rows.withColumn("_held", F.lit(False) if validation is None else F.coalesce(validation, F.lit(False))))
+    stop_early = {} if validation is None else {"validationIndicatorCol": "_held", "validationTol": tolerance}
 
     def fit_one(i: int) -> tuple[PipelineModel, int]:
         gbt = GBTClassifier(
             featuresCol="features", labelCol="_is", weightCol="_w", maxIter=iterations, maxDepth=depth, stepSize=step,
             minInstancesPerNode=min_leaf, subsamplingRate=subsample, seed=seed,
+            featureSubsetStrategy="all" if feature_share >= 1.0 else str(feature_share), minInfoGain=min_gain, **stop_early,
         )
         binary = rows.withColumn("_is", (F.col("_y") == float(i)).cast("double"))
         return Pipeline(stages=[_assembler(features), gbt]).fit(binary), i
@@ -189,26 +203,6 @@ def baseline(
     return df.withColumn("prediction", F.lit(names[-1]) if chosen is None else chosen.otherwise(names[-1]))
 
 
-# Search spaces of the tuned boosted-tree learners, mapped to the parameters Spark's trees have.
-BOOSTED_SPACE = {
-    "depth": [4, 6, 8, 10],
-    "step": (0.01, 0.15, "log"),
-    "iterations": [500, 1000, 2000, 3000],
-    "min_leaf": [1, 5, 10, 20, 50],
-    "fatal_weight": (5.0, 60.0, "linear"),
-    "serious_weight": (1.5, 10.0, "linear"),
-}
-SAMPLED_SPACE = {
-    "depth": [4, 5, 6, 7, 8],
-    "step": (0.005, 0.15, "log"),
-    "iterations": [500, 1000, 2000, 3000],
-    "min_leaf": [5, 10, 20, 50, 100],
-    "subsample": (0.5, 1.0, "linear"),
-    "fatal_weight": (5.0, 80.0, "linear"),
-    "serious_weight": (1.5, 10.0, "linear"),
-}
-
-
 def draw_trial(space: Mapping, rng: random.Random) -> dict:
     out = {}
     for name, choice in space.items():
@@ -216,6 +210,9 @@ def draw_trial(space: Mapping, rng: random.Random) -> dict:
             out[name] = rng.choice(choice)
         else:
             low, high, scale = choice
+            if scale == "int":
+                out[name] = rng.randint(low, high)
+                continue
             out[name] = math.exp(rng.uniform(math.log(low), math.log(high))) if scale == "log" else rng.uniform(low, high)
     return out
 
@@ -225,7 +222,7 @@ def hyperparameter_search(
     val: DataFrame,
     label: str,
     features: Sequence[str],
-    space: Mapping = BOOSTED_SPACE,
+    space: Mapping = presets.BOOSTED_SPACE,
     trials: int = 60,
     seed: int = 42,
     parallelism: int = 2,
@@ -235,19 +232,25 @@ def hyperparameter_search(
 ) -> tuple[Scored, DataFrame, list[float]]:
     """Random search for the best thresholded macro F1 on ``val``; refit on train ∪ val.
 
+    Trials stop early by their error on ``val``; the refit grows as many trees as the best trial at most.
+
     Returns the refitted model, a table of trials (best first) and the best thresholds.
     Trials differ by a seeded draw; ``overrides`` fixes single parameters.
     """
     rng = random.Random(seed)
     drawn = [{**draw_trial(space, rng), **(overrides or {})} for _ in range(trials)]
     grid = presets.tuning_grid() if grid is None else grid
+    both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)), allowMissingColumns=True)
+    both = cut_lineage(both)  # every trial reads it
+    val = both.where("_val")
 
     def run(params: dict):
-        model = _fit_trial(train, label, features, params, labels, seed)
+        model = _fit_trial(both, label, features, params, labels, seed, F.col("_val"))
         scored = model.probabilities(val)
         named = scored.withColumns({f"p{i}": F.col("probabilities")[i] for i in range(len(labels))})
         best = evaluate.threshold_search(named, label, [f"p{i}" for i in range(len(labels))], grid, labels).first()
-        return best["macro_f1"], [best[f"threshold_{name.lower()}"] for name in labels]
+        grown = max(m.stages[-1].getNumTrees for m, _ in model.stages)
+        return best["macro_f1"], [best[f"threshold_{name.lower()}"] for name in labels], grown
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         results = list(pool.map(run, drawn))
@@ -258,16 +261,15 @@ def hyperparameter_search(
         [(i, results[i][0], *map(float, results[i][1]), str(drawn[i])) for i in order],
         "trial int, macro_f1 double, " + ", ".join(f"threshold_{n.lower()} double" for n in labels) + ", params string",
     )
-    everything = train.unionByName(val, allowMissingColumns=True)
-    model = _fit_trial(everything, label, features, drawn[best], labels, seed)
+    model = _fit_trial(both, label, features, {**drawn[best], "iterations": results[best][2]}, labels, seed)
     model.params.update(drawn[best])
     return model, table, results[best][1]
 
 
-def _fit_trial(df: DataFrame, label: str, features: Sequence[str], params: Mapping, labels: Sequence[str], seed: int) -> Scored:
+def _fit_trial(df: DataFrame, label: str, features: Sequence[str], params: Mapping, labels: Sequence[str], seed: int, validation: Column | None = None) -> Scored:
     own = dict(params)
     weights = {"Fatal": own.pop("fatal_weight", 1.0), "Serious": own.pop("serious_weight", 1.0), "Slight": 1.0}
-    return fit_boosted(df, label, features, labels, weights=weights, seed=seed, **own)
+    return fit_boosted(df, label, features, labels, weights=weights, seed=seed, validation=validation, **own)
 
 
 def top_trials(trials: DataFrame, n: int = 10) -> DataFrame:

@@ -196,8 +196,19 @@ def check_timeliness(accidents: DataFrame, date: str = "Date", first_day: str =
     return a.findings()
 
 
-def check_distribution(df: DataFrame, name: str, numeric: Sequence[str], categorical: Sequence[str] = (), ks: bool = True) -> DataFrame:
-    """Statistics, histogram counts, normality and category frequencies as findings."""
+def check_distribution(
+    df: DataFrame,
+    name: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    dimension: str = "distribution",
+    sample_key: str | None = None,
+) -> DataFrame:
+    """Statistics, histogram counts, normality and category frequencies as findings.
+
+    Normality is tested on all rows, where nearly every column of a large table departs from
+    it. With ``sample_key`` a test on a fixed-size random sample is reported as well.
+    """
     from tarmac.operators import normality
 
     numeric = [c for c in numeric if c in df.columns]
@@ -207,16 +218,22 @@ def check_distribution(df: DataFrame, name: str, numeric: Sequence[str], categor
         stats = profile.descriptive_stats(df, numeric)
         metrics = [c for c in stats.columns if c != "column"]
         tall = stats.select("column", *[F.round(F.col(m).cast("double"), 3).alias(m) for m in metrics]).unpivot("column", metrics, "metric", "value")
-        parts.append(_tall(tall, "distribution", "descriptive_stats", name, F.col("metric"), F.col("value")))
+        parts.append(_tall(tall, dimension, "descriptive_stats", name, F.col("metric"), F.col("value")))
         bins = profile.histogram(df, numeric)
         parts.append(
-            _tall(bins, "distribution", "histogram", name, F.concat(F.lit("bin_"), F.col("bin").cast("string")), F.col("n").cast("double"))
+            _tall(bins, dimension, "histogram", name, F.concat(F.lit("bin_"), F.col("bin").cast("string")), F.col("n").cast("double"))
         )
-        if ks:
-            parts.append(_tall(normality.ks_normal(df, numeric), "distribution", "ks_normal", name, F.lit("statistic"), F.col("statistic")))
+        tests = [("ks_normal", normality.ks_normal(df, numeric))]
+        if sample_key is not None:
+            tests += [("ks_normal_sampled", normality.ks_normal_sampled(df, c, sample_key)) for c in numeric]
+        for check, found in tests:
+            reading = F.when(F.col("is_normal") == 1, "normal").otherwise("not normal")
+            rounded = found.select("column", reading.alias("reading"), *[F.round(m, 3).alias(m) for m in ("statistic", "p_value")])
+            tall = rounded.unpivot(["column", "reading"], ["statistic", "p_value"], "metric", "value")
+            parts.append(_tall(tall, dimension, check, name, F.col("metric"), F.col("value"), F.col("reading")))
     if categorical:
         parts.append(
-            _tall(profile.value_counts(df, categorical), "distribution", "value_counts", name, F.col("value"), F.col("n").cast("double"))
+            _tall(profile.value_counts(df, categorical), dimension, "value_counts", name, F.col("value"), F.col("n").cast("double"))
         )
     return reduce(DataFrame.unionByName, parts)
 
@@ -250,7 +267,7 @@ def check_weather(
     bounds: Mapping[str, tuple] = presets.WEATHER_BOUNDS,
     missing_over: float = 20.0,
 ) -> DataFrame:
-    """Missing share over the limit and values outside physical bounds, one pass for all columns."""
+    """Missing share over the limit and values outside physical bounds, one pass for all columns; then their profile."""
     checks, dim = Checks(df), "weather_distribution"
     rows = F.count(F.lit(1))
     for name in columns:
@@ -264,7 +281,10 @@ def check_weather(
         if name in bounds:
             low, high = bounds[name]
             checks.measure(dim, "physical_bounds", name, "out_of_bounds", F.count_if((value < low) | (value > high)))
-    return checks.findings()
+    present = [c for c in columns if c in df.columns]
+    if not present:
+        return checks.findings()
+    return checks.findings().unionByName(check_distribution(df, "weather", present, dimension=dim))
 
 
 def generic_checks(
@@ -354,7 +374,7 @@ def check_split(df: DataFrame, features: Sequence[str] | None = None, label: str
     )
 
 
-def validate(accidents: DataFrame, vehicles: DataFrame, merged: DataFrame, date: str = "Date", ks: bool = True, isolation: bool = True) -> DataFrame:
+def validate(accidents: DataFrame, vehicles: DataFrame, merged: DataFrame, date: str = "Date", isolation: bool = True, sample_key: str | None = "Accident_Index") -> DataFrame:
     """All dimensions as one findings table."""
     return reduce(
         DataFrame.unionByName,
@@ -370,10 +390,10 @@ def validate(accidents: DataFrame, vehicles: DataFrame, merged: DataFrame, date:
                 "accidents",
                 ["Latitude", "Longitude", "Speed_limit", "Number_of_Casualties", "Number_of_Vehicles"],
                 ["Accident_Severity", "Day_of_Week", "Light_Conditions", "Weather_Conditions", "Road_Surface_Conditions", "Urban_or_Rural_Area", "Road_Type"],
-                ks,
+                sample_key=sample_key,
             ),
             check_distribution(
-                vehicles, "vehicles", ["Age_of_Vehicle"], ["Age_Band_of_Driver", "Sex_of_Driver", "Vehicle_Type", "Vehicle_Manoeuvre"], ks
+                vehicles, "vehicles", ["Age_of_Vehicle"], ["Age_Band_of_Driver", "Sex_of_Driver", "Vehicle_Type", "Vehicle_Manoeuvre"]
             ),
             check_relationships(accidents, ["Speed_limit", "Number_of_Casualties", "Number_of_Vehicles", "Latitude", "Longitude"]),
             check_join_integrity(accidents, vehicles),
@@ -398,13 +418,13 @@ def _single(one: DataFrame, dimension: str, check: str, subject: str, metrics: M
     )
 
 
-def _tall(df: DataFrame, dimension: str, check: str, table: str, metric: Column, value: Column) -> DataFrame:
+def _tall(df: DataFrame, dimension: str, check: str, table: str, metric: Column, value: Column, detail: Column | None = None) -> DataFrame:
     return df.select(
         F.lit(dimension).alias("dimension"),
         F.lit(check).alias("check_name"),
         F.concat(F.lit(table + "."), F.col("column")).alias("subject"),
         metric.alias("metric"),
         value.cast("double").alias("value"),
-        F.lit(None).cast("string").alias("detail"),
+        (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
         F.lit(False).alias("is_issue"),
     )

@@ -311,8 +311,8 @@ def test_baselines(labelled):
 def test_search_draws_are_seeded(labelled):
     import random
 
-    a = models.draw_trial(models.BOOSTED_SPACE, random.Random(1))
-    assert a == models.draw_trial(models.BOOSTED_SPACE, random.Random(1))
+    a = models.draw_trial(presets.BOOSTED_SPACE, random.Random(1))
+    assert a == models.draw_trial(presets.BOOSTED_SPACE, random.Random(1))
     assert 0.01 <= a["step"] <= 0.15 and a["depth"] in (4, 6, 8, 10)
     model, trials, thresholds = models.hyperparameter_search(
         labelled, labelled, "y", ["good"], trials=2, overrides={"iterations": 2, "depth": 2}, grid=[(0.1, 0.2, 0.3), (0.33, 0.33, 0.33)]
