@@ -45,6 +45,7 @@ def hash_cuts(hashed: DataFrame, ranks: Mapping[object, Sequence[int]]) -> dict[
 
     ``hashed`` has the columns (c, h).
     """
+    spark = hashed.sparkSession
     out: dict[object, list] = {c: [None] * len(rs) for c, rs in ranks.items()}
     open_cuts = []  # (class, position, rank still to take, prefix, shift of the prefix)
     for c, rs in ranks.items():
@@ -62,35 +63,27 @@ def hash_cuts(hashed: DataFrame, ranks: Mapping[object, Sequence[int]]) -> dict[
         for c, prefix in sorted(wanted, key=str):
             same = F.col("c") == F.lit(c)
             keep = keep | (same if previous == 60 else same & (F.shiftright("h", previous) == prefix))
-        counted = (
-            hashed.where(keep)
-            .groupBy("c", F.shiftright("h", shift).alias("p"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()  # at most 2^15 prefixes per open cut
-        )
-        by_parent: dict[tuple, list] = {}
-        for r in counted:
-            parent = 0 if previous == 60 else r["p"] >> (previous - shift)
-            by_parent.setdefault((r["c"], parent), []).append((r["p"], r["n"]))
-        for entries in by_parent.values():
-            entries.sort()
+        parent = F.lit(0).cast("long") if previous == 60 else F.shiftright("p", previous - shift)
+        counted = hashed.where(keep).groupBy("c", F.shiftright("h", shift).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        counted = counted.withColumn("parent", parent)
+        # At most 2^15 prefixes per class and parent.
+        so_far = Window.partitionBy("c", "parent").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+        counted = counted.withColumn("upto", F.sum("n").over(so_far))
+        kind = hashed.schema["c"].dataType.simpleString()
+        asked = spark.createDataFrame([(c, prefix, i, need) for c, i, need, prefix, _ in open_cuts], f"c {kind}, parent long, i int, need long")
+        hit = counted.join(F.broadcast(asked), ["c", "parent"]).where((F.col("need") <= F.col("upto")) & (F.col("need") > F.col("upto") - F.col("n")))
+        found = {(r["c"], r["i"]): r for r in hit.select("c", "i", "p", "n", "upto", "need").collect()}  # a row per open cut
         still_open = []
-        for c, i, need, prefix, _ in open_cuts:
-            entries = by_parent.get((c, prefix), [])
-            for p, n in entries:
-                if need > n:
-                    need -= n
-                elif need == n:
-                    out[c][i] = ((p + 1) << shift, 0)
-                    break
-                elif shift == 0:
-                    out[c][i] = (p, need)
-                    break
-                else:
-                    still_open.append((c, i, need, p, shift))
-                    break
-            else:
+        for c, i, _, _, _ in open_cuts:
+            r = found.get((c, i))
+            if r is None:
                 out[c][i] = (_END, 0)
+            elif r["need"] == r["upto"]:
+                out[c][i] = ((r["p"] + 1) << shift, 0)
+            elif shift == 0:
+                out[c][i] = (r["p"], r["need"] - (r["upto"] - r["n"]))
+            else:
+                still_open.append((c, i, r["need"] - (r["upto"] - r["n"]), r["p"], shift))
         open_cuts = still_open
     return out
 

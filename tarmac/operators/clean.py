@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -54,11 +55,18 @@ def filter_valid_set(
 def require_non_null(df: DataFrame, columns: Sequence[str] = presets.REQUIRED_COLUMNS) -> DataFrame:
     """Drop rows with a null in any of the columns that are present."""
     here = present(df, columns)
-    return df.dropna("any", subset=here) if here else df
+    return df.where(_all_known(df, here)) if here else df
+
+
+def _all_known(df: DataFrame, columns: Sequence[str]) -> Column:
+    """No null and no NaN, as single tests that a file reader understands."""
+    kinds = dict(df.dtypes)
+    tests = [col(c).isNotNull() & ~F.isnan(col(c)) if kinds.get(c) in ("float", "double") else col(c).isNotNull() for c in columns]
+    return reduce(lambda a, b: a & b, tests)
 
 
 def drop_any_null(df: DataFrame) -> DataFrame:
-    return df.dropna("any")
+    return df.where(_all_known(df, df.columns)) if df.columns else df
 
 
 def first_columns(df: DataFrame, n: int) -> DataFrame:

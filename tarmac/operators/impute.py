@@ -14,7 +14,7 @@ from tarmac.operators import clean, order_stats, profile
 from tarmac.operators.skew import held, join_lookup, join_small_or_large
 from tarmac.schema import col, numeric_columns, string_columns
 
-LABEL_RANGES = 255
+LABEL_RANGES = 4_095
 
 
 def _fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -110,7 +110,7 @@ def _range_limits(df: DataFrame, column: str, ranges: int) -> list:
 def _range_of(value, limits: list):
     if not limits:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda c: c < value))
+    return fx.count_below(F.array(*[F.lit(x) for x in limits]), value)
 
 
 def impute_ordered(

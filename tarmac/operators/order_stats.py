@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.functions import scalar as fx
 from tarmac.schema import col
 
 # Every task may send this many values per column to the one that merges them.
@@ -32,7 +33,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def running_counts(counts: DataFrame, buckets: int = 64, accuracy: int = 1000) -> DataFrame:
+def running_counts(counts: DataFrame, buckets: int = 1024, accuracy: int = 10_000) -> DataFrame:
     """Add ``below`` (rows with a smaller value) and ``total`` to a (column, value, n) table."""
     cuts = counts.groupBy("column").agg(
         F.percentile_approx("value", [i / buckets for i in range(1, buckets)], accuracy).alias("cuts")
@@ -44,7 +45,7 @@ def running_counts(counts: DataFrame, buckets: int = 64, accuracy: int = 1000) -
         *[x for r in rows for x in (F.lit(r["column"]), F.array(*[F.lit(float(v)) for v in sorted(set(r["cuts"]))]))]
     )
     placed = counts.withColumn(
-        "bucket", F.size(F.filter(F.element_at(limits, F.col("column")), lambda c: c < F.col("value")))
+        "bucket", fx.count_below(F.element_at(limits, F.col("column")), F.col("value"))
     )
     per_bucket = placed.groupBy("column", "bucket").agg(F.sum("n").alias("bucket_n"))
     # At most `buckets` rows per column.

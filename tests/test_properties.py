@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarmac import presets, schema
+from tarmac.functions import scalar as fx
 from tarmac.operators import balance, clean, correlation, features, impute, isolation, joins, models, neighbours, normality
 from tarmac.operators import order_stats, select, skew
 from tarmac.plans import flows
-from tarmac.session import new_path
+from tarmac.session import new_path, scratch_dir
 from tarmac.sources import domain, snapshots, tables
 
 
@@ -386,6 +387,32 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in text
 
 
+def test_cleaning_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    columns = ["Accident_Index", "Latitude", "Longitude", "Day_of_Week", "Date", "Age_Band_of_Driver", "Sex_of_Driver"]
+    rows = spark.range(5).select(F.col("id").alias("Speed_limit"), *[F.lit("1").alias(c) for c in columns])
+    rows.write.parquet(path)
+    text = plan(clean.clean(spark.read.parquet(path)))
+    pushed = next(line for line in text.splitlines() if "PushedFilters" in line)
+    assert "In(Speed_limit" in pushed and "IsNotNull(Latitude)" in pushed and "CollectMetrics" not in text
+
+
+def test_a_cluster_needs_a_shared_folder():
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(master)
+    assert scratch_dir("local[4]") == scratch_dir("local")
+
+
+def test_count_below(spark):
+    limits = [-1.5, 0.0, 0.0, 2.0, 7.0]
+    rows = spark.createDataFrame([(v,) for v in [-9.0, -1.5, 0.0, 1.0, 2.0, 7.0, 8.0, None]], "v double")
+    for n in range(len(limits) + 1):
+        array = F.array(*[F.lit(x) for x in limits[:n]]).cast("array<double>")
+        for r in rows.select("v", fx.count_below(array, F.col("v")).alias("k")).collect():
+            assert r.k == sum(r.v is not None and x < r.v for x in limits[:n])
+
+
 def test_split_is_a_map_over_the_scan(spark, sf_dir):
     text = plan(balance.train_val_test(domain.view(spark, sf_dir, "accidents"), "Accident_Severity", "Accident_Index"))
     assert "Exchange" not in text and "Sort" not in text
