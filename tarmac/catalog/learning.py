@@ -75,7 +75,7 @@ def _mi_sql(column, bins):
     ["accidents"],
 )
 def mutual_information(d):
-    return select.mutual_information(_stat_rows(d), ["Speed_limit", "Latitude", "Number_of_Casualties"], "y")
+    return select.mutual_information(_stat_rows(d), ["Speed_limit", "Latitude", "Number_of_Casualties"], "y", discrete=["Speed_limit", "Number_of_Casualties"])
 
 
 _RISK = f"""CAST(floor({case_map('Speed_limit', presets.SPEED_RISK, '3')} * {case_map("coalesce(Road_Type, 'Single carriageway')", presets.ROAD_RISK_MULTIPLIERS, '1e0')}) AS DOUBLE)"""

@@ -26,6 +26,20 @@ def resample_stream(d):
     return out.withColumn("period", F.to_date("period"))
 
 
+@query(
+    "resample_stream_closed",
+    "period:s n:i",
+    """SELECT period, count(*) AS n FROM (SELECT date_trunc('day', ts)::DATE AS period, (SELECT max(ts) FROM events) AS newest FROM events)
+       WHERE period + INTERVAL 1 DAY <= newest - INTERVAL 1 DAY GROUP BY 1""",
+)
+def resample_stream_closed(d):
+    """Windows that the watermark has closed; state is dropped with them, and a late event changes nothing."""
+    counts = scoring.resample_stream(_stream(d, "events"), "ts", "1 day")
+    path, checkpoint = new_path(d.spark, "closed"), new_path(d.spark, "ckpt")
+    scoring.run_to_table(counts, path, checkpoint)
+    return d.spark.read.parquet(path).withColumn("period", F.to_date("period"))
+
+
 @query(
     "row_local_features_stream",
     "Accident_Index:i is_dark:i is_wet_road:i is_urban:i Road_Type:i month:i",

@@ -27,13 +27,33 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _or_fail(lambda: spark.read.parquet(path), path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """One record per line, so files split over tasks; ``multi_line`` reads one record or array per file in one task."""
     reader = spark.read.option("multiLine", multi_line)
     return _or_fail(lambda: (reader.schema(schema) if schema else reader).json(path), path)
 
 
-def read_table(spark: SparkSession, url: str, table: str, columns: Sequence[str], predicate: Column | None = None, **options) -> DataFrame:
-    """A relational table over JDBC; the filter and the columns reach the source."""
+def read_table(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    columns: Sequence[str],
+    predicate: Column | None = None,
+    partition_column: str | None = None,
+    bounds: tuple | None = None,
+    num_partitions: int = 1,
+    **options,
+) -> DataFrame:
+    """A relational table over JDBC; the filter and the columns reach the source.
+
+    With ``partition_column`` (a number, date or timestamp) and its ``bounds``, that many tasks read
+    a range each; rows beyond the bounds fall to the first and the last. Without them one task reads all.
+    """
+    if partition_column is not None:
+        if bounds is None or num_partitions < 2:
+            raise ValueError("a partition column needs bounds and at least 2 partitions")
+        low, high = bounds
+        options |= {"partitionColumn": partition_column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(num_partitions)}
     df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
     return project(df, columns, predicate)
 

@@ -404,6 +404,11 @@ def test_a_cluster_needs_a_shared_folder():
     assert scratch_dir("local[4]") == scratch_dir("local")
 
 
+def test_relational_partitions_are_named_whole(spark):
+    with pytest.raises(ValueError, match="bounds"):
+        tables.read_table(spark, "jdbc:none", "t", ["a"], partition_column="a")
+
+
 def test_count_below(spark):
     limits = [-1.5, 0.0, 0.0, 2.0, 7.0]
     rows = spark.createDataFrame([(v,) for v in [-9.0, -1.5, 0.0, 1.0, 2.0, 7.0, 8.0, None]], "v double")
