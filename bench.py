@@ -27,6 +27,7 @@ HEADLINE = [
     "check_uniqueness",
     "pearson_matrix",
     "spearman_matrix",
+    "validation_score",
     "full_validation",
     "impute_median_or_unknown",
     "outlier_clip",

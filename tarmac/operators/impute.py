@@ -144,7 +144,7 @@ def outlier_clip(
     bounds = profile.fences(df, columns, multiplier, **options)
     clipped = df.withColumns({c: fx.clip(col(c).cast("double"), b[2], b[3]) for c, b in bounds.items()}) if bounds else df
     stats = (
-        profile.iqr_outliers(df, columns, multiplier, **options)
+        profile.iqr_outliers(df, columns, multiplier, bounds)
         .where(F.col("outliers") > 0)
         .select(
             "column",

@@ -138,9 +138,12 @@ def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, **opt
     return out
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, **options) -> DataFrame:
-    """(column, q1, q3, lower_fence, upper_fence, outliers, n_valid) per column, one pass for all counts."""
-    bounds = fences(df, columns, multiplier, **options)
+def iqr_outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5, bounds: dict[str, tuple] | None = None, **options) -> DataFrame:
+    """(column, q1, q3, lower_fence, upper_fence, outliers, n_valid) per column, one pass for all counts.
+
+    ``bounds`` are fences that the caller has already.
+    """
+    bounds = fences(df, columns, multiplier, **options) if bounds is None else bounds
     if not bounds:
         return df.sparkSession.createDataFrame(
             [], "column string, q1 double, q3 double, lower_fence double, upper_fence double, outliers long, n_valid long"

@@ -161,19 +161,11 @@ def check_outliers(accidents: DataFrame, vehicles: DataFrame, isolation: bool =
         columns = [c for c in columns if c in df.columns]
         if not columns:
             continue
-        found = profile.iqr_outliers(df, columns)
-        for metric, value in (("iqr_outliers", "outliers"), ("lower_fence", "lower_fence"), ("upper_fence", "upper_fence")):
-            parts.append(
-                found.select(
-                    F.lit("outliers").alias("dimension"),
-                    F.lit("iqr").alias("check_name"),
-                    F.concat(F.lit(name + "."), F.col("column")).alias("subject"),
-                    F.lit(metric).alias("metric"),
-                    F.round(F.col(value).cast("double"), 2).alias("value"),
-                    F.lit(None).cast("string").alias("detail"),
-                    F.lit(False).alias("is_issue"),
-                )
-            )
+        metrics = ["iqr_outliers", "lower_fence", "upper_fence"]
+        found = profile.iqr_outliers(df, columns).withColumnRenamed("outliers", "iqr_outliers")
+        tall = found.select("column", *[F.round(F.col(m).cast("double"), 2).alias(m) for m in metrics])
+        tall = tall.unpivot("column", metrics, "metric", "value")
+        parts.append(_tall(tall, "outliers", "iqr", name, F.col("metric"), F.col("value")))
         if isolation and len(columns) >= 2:
             keys = [c for c in ("Accident_Index", "Vehicle_Reference") if c in df.columns]
             rate = forest.anomaly_rate(df, columns, keys, **forest_options)

@@ -13,6 +13,7 @@ from tarmac.operators import balance, clean, evaluate, impute, joins, models, se
 from tarmac.operators import features as fe
 from tarmac.operators import groupstats
 from tarmac.schema import col, numeric_columns, string_columns
+from tarmac.session import cut_lineage
 
 
 @dataclass
@@ -34,7 +35,8 @@ class Config:
 
 
 def integrate_and_clean(accidents: DataFrame, vehicles: DataFrame, stations: DataFrame, weather: DataFrame, how: str = "left") -> DataFrame:
-    return clean.clean(joins.integrate(accidents, vehicles, stations, weather, how))
+    # The joined table serves the null shares and the rows: it is computed once.
+    return clean.clean(cut_lineage(joins.integrate(accidents, vehicles, stations, weather, how)))
 
 
 def engineer(df: DataFrame, encoding: groupstats.GroupEncoding | None = None, **skew_options) -> DataFrame:
@@ -61,8 +63,10 @@ def engineer(df: DataFrame, encoding: groupstats.GroupEncoding | None = None, **
 
 def preprocess(df: DataFrame, config: Config = Config(), label: str = "Accident_Severity", key: str = "Accident_Index") -> tuple[DataFrame, DataFrame]:
     """Impute, clip, label-encode. Returns the table and the outlier statistics."""
-    out = impute.handle_missing(df, config.missing_threshold)
+    # Shares, medians, fences and codes each read the table: it is computed once per stage.
+    out = cut_lineage(impute.handle_missing(cut_lineage(df), config.missing_threshold))
     out, stats = impute.outlier_clip(out)
+    out = cut_lineage(out)
     skip = [label, key, "Date", "Day_of_Week"]
     return impute.encode_categorical(out, string_columns(out, skip), method="label"), stats
 
@@ -98,6 +102,7 @@ def split_balance_scale(
     """Split, oversample the training rows only, and scale everything by the training rows."""
     features = list(features)
     filled = impute.impute_for_balancing(df.select(col(key), col(label), *[col(f) for f in features if f not in (key, label)]), features)
+    filled = cut_lineage(filled)
     split = balance.train_val_test(filled, label, key, config.test_size, config.val_size, config.random_state)
     train = split.where(F.col("split") == "train").drop("split")
     if config.apply_smote:
@@ -106,7 +111,8 @@ def split_balance_scale(
     else:
         train = train.withColumns({key: col(key).cast("string"), "is_synthetic": F.lit(0)})
     held = split.where(F.col("split") != "train").withColumns({key: col(key).cast("string"), "is_synthetic": F.lit(0)})
-    rows = train.withColumn("split", F.lit("train")).unionByName(held)
+    # The scaler, each fit, the thresholds and the scores read these rows: neighbours are searched once.
+    rows = cut_lineage(train.withColumn("split", F.lit("train")).unionByName(held))
     scaler = impute.Scaler.fit(rows.where(F.col("split") == "train"), features)
     return Prepared(scaler.transform(rows), features, scaler)
 

@@ -9,7 +9,7 @@ from tarmac import catalog
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 # Covered by their parts; run by oracle_check.py and the benchmark.
-SLOW = {"train_and_evaluate", "hyperparameter_search", "compare_selectors", "full_validation"}
+SLOW = {"train_and_evaluate", "hyperparameter_search", "compare_selectors"}
 
 
 @pytest.fixture(scope="module")
