@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import named, scratch_name
-from tarmac.session import cut_lineage
 
 #: A subtree is template when it stands on this many different pages of a host, and this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
@@ -98,7 +97,8 @@ def blocks(html: str) -> list[tuple[str, bool, list[int]]]:
     """(text, is in an article or main element, hashes of the subtrees around it) per block of text.
 
     Furniture is left out. A subtree's hash covers its tags and its text in page order, that of
-    furniture too; inside an article only containers that are not prose count as subtrees.
+    furniture too. What holds the whole page or its article is no subtree in this sense; inside an
+    article only containers that are not prose are.
     """
     root = _Node("", "")
     stack = [root]
@@ -115,8 +115,9 @@ def blocks(html: str) -> list[tuple[str, bool, list[int]]]:
                 for node in stack:
                     node.add(encoded)
                 if not any(n.is_furniture for n in stack):
-                    inside = any(n.is_content for n in stack)
-                    found.append((whole, inside, [n for n in stack[1:] if not (inside and n.tag in _PROSE)]))
+                    content = next((i for i, n in enumerate(stack) if n.is_content), None)
+                    within = stack[1:] if content is None else [n for n in stack[content + 1 :] if n.tag not in _PROSE]
+                    found.append((whole, content is not None, [n for n in within if n.tag not in ("html", "body")]))
 
     def close(depth: int) -> None:
         if any(n.tag in _BLOCKS or n.tag in _FURNITURE or n.is_furniture for n in stack[depth:]):
@@ -221,7 +222,8 @@ def extract_text(
         F.arrays_zip(F.col(parsed)["texts"].alias("texts"), F.col(parsed)["inside"].alias("inside"), F.col(parsed)["around"].alias("around")),
         lambda b: b["inside"] | ~has_content,
     )
-    read = cut_lineage(read.withColumn(parsed, blocks_of).drop(html_col, text_col))
+    # Parsed once for the counts and once for the texts: cheaper than a written copy of all pages.
+    read = read.withColumn(parsed, blocks_of).drop(html_col, text_col)
     subtrees = read.select(host, page, F.explode(F.array_distinct(F.flatten(F.col(parsed)["around"]))).alias("subtree")).distinct()
     counted = subtrees.groupBy(host, "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     sizes = read.select(host, page).distinct().groupBy(host).agg(F.count("*").alias("pages"))
