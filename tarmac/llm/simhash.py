@@ -139,15 +139,20 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return both.mapInPandas(compare, "src long, dst long")
 
 
+def grouped(prints: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, root, component) of every distinct ``fp`` of ``prints`` (id, fp) under the links ``found`` between them."""
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    members = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    rooted = cut_lineage(distinct.join(members, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    return rooted.join(least, "root").select("fp", "root", "component")
+
+
 def classes(df: DataFrame, id_col: str, text_col: str, radius: int, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
     """(id, fp) of every row, and (fp, root, component) of every distinct fingerprint."""
     fp = fingerprint_column(text_or_empty(text_col), words_per_shingle).alias("fp")
     prints = cut_lineage(df.select(named(id_col).cast("long").alias("id"), fp))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    members = connected_components(links(prints, radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = cut_lineage(distinct.join(members, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return prints, rooted.join(least, "root").select("fp", "root", "component")
+    return prints, grouped(prints, links(prints, radius))
 
 
 def near_duplicates(
@@ -181,11 +186,16 @@ def keep_one(
     Rows that share an id count as one document, of which one row stays. Rows without an id stay
     only where no row of their group has one, and then one of them. Columns are those of ``df``.
     """
-    fp, root = scratch_name(df, "_fp"), scratch_name(df, "_root")
     prints, by_print = classes(df, id_col, text_col, radius, words_per_shingle)
+    return keep_first(df, id_col, prints, by_print, fingerprint_column(text_or_empty(text_col), words_per_shingle))
+
+
+def keep_first(df: DataFrame, id_col: str, prints: DataFrame, by_print: DataFrame, fp_of: Column) -> DataFrame:
+    """``keep_one`` from the rows' fingerprints and the groups of these; ``fp_of`` computes a row's fingerprint."""
+    fp, root = scratch_name(df, "_fp"), scratch_name(df, "_root")
     kept = prints.join(by_print, "fp").where("id = component").select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col)).distinct()
     with_id = df.where(named(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
     nameless = by_print.where("component is null").select(F.col("fp").alias(fp), F.col("root").alias(root))
-    without = df.where(named(id_col).isNull()).withColumn(fp, fingerprint_column(text_or_empty(text_col), words_per_shingle))
+    without = df.where(named(id_col).isNull()).withColumn(fp, fp_of)
     without = without.join(nameless, fp).dropDuplicates([root]).select(*map(named, df.columns))
     return with_id.select(*map(named, df.columns)).unionByName(without)
