@@ -58,8 +58,8 @@ _CLOSED_BY = {
     "option": frozenset(["option"]),
 }
 _SCOPES = frozenset("article body div html li main section table td th ul ol dl blockquote".split())
-#: Inside an article these are its text, however often a passage recurs.
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption caption".split())
+#: Inside an article only these can be template; all else is its text, however often a passage recurs.
+_CONTAINERS = frozenset("address article aside center details dialog dir div fieldset footer form header hgroup main menu nav section summary".split())
 
 
 class _Node:
@@ -98,7 +98,7 @@ def blocks(html: str) -> list[tuple[str, bool, list[int]]]:
 
     Furniture is left out. A subtree's hash covers its tags and its text in page order, that of
     furniture too. What holds the whole page or its article is no subtree in this sense; inside an
-    article only containers that are not prose are.
+    article only named block containers are, never prose or inline elements.
     """
     root = _Node("", "")
     stack = [root]
@@ -116,7 +116,7 @@ def blocks(html: str) -> list[tuple[str, bool, list[int]]]:
                     node.add(encoded)
                 if not any(n.is_furniture for n in stack):
                     content = next((i for i, n in enumerate(stack) if n.is_content), None)
-                    within = stack[1:] if content is None else [n for n in stack[content + 1 :] if n.tag not in _PROSE]
+                    within = stack[1:] if content is None else [n for n in stack[content + 1 :] if n.tag in _CONTAINERS]
                     found.append((whole, content is not None, [n for n in within if n.tag not in ("html", "body")]))
 
     def close(depth: int) -> None:
@@ -207,8 +207,8 @@ def extract_text(
     furniture and template subtrees are left out. White space inside a block is one space;
     character references are decoded; malformed markup is read as browsers do, roughly. A subtree
     is template when it stands on at least ``min_pages`` different pages of its host that are at
-    least ``min_share`` of them; copies of a page count once. In an article only containers other
-    than prose elements can be template, so passages that recur are kept. A null or empty page
+    least ``min_share`` of them; copies of a page count once. In an article only block
+    containers (div, section, aside and the like) can be template, so passages that recur are kept. A null or empty page
     has an empty text; pages without a host are one site. Repeated pages have equal texts. Empty
     tables stay empty. ``html_col`` is dropped and a column named ``text_col`` replaced; others are kept.
     """

@@ -76,6 +76,14 @@ def test_templates_go_and_passages_stay(spark):
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+def test_unclosed_inline_elements_in_articles_are_no_template(spark):
+    inline = ["b", "i", "em", "strong", "a href='/x'", "span", "font"]
+    page = "<article><p>story {}</p>" + "".join(f"<p><{tag}>shared {n}</p>" for n, tag in enumerate(inline)) + "<section>Join us</section></article>"
+    df = spark.createDataFrame([(i, "http://e.test/x", page.format(i)) for i in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_text(df).collect()}
+    assert got == {i: "\n".join([f"story {i}", *(f"shared {n}" for n in range(len(inline)))]) for i in range(40)}
+
+
 # URL filters
 
 
