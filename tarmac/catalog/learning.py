@@ -219,9 +219,7 @@ def score_batch(d):
 def hyperparameter_search(d):
     prepared = flows.split_balance_scale(model_rows(d), _LABEL, "Accident_Index", _FEATURES, flows.Config(apply_smote=False)).rows
     train, val = (prepared.where(F.col("split") == s) for s in ("train", "val"))
-    _, trials, _ = models.hyperparameter_search(
-        train, val, _LABEL, _FEATURES, trials=2, overrides={"iterations": 3, "depth": 3}, grid=presets.tuning_grid()
-    )
+    _, trials, _ = models.hyperparameter_search(train, val, _LABEL, _FEATURES, trials=60, grid=presets.tuning_grid())
     return models.top_trials(trials)
 
 
@@ -230,7 +228,7 @@ def train_and_evaluate(d):
     prepared = flows.split_balance_scale(model_rows(d), _LABEL, "Accident_Index", _FEATURES).rows
     fitters = {
         "logistic": lambda t: models.fit_logistic(t, _LABEL, _FEATURES),
-        "forest": lambda t: models.fit_forest(t, _LABEL, _FEATURES, trees=10, depth=5),
+        "forest": lambda t: models.fit_forest(t, _LABEL, _FEATURES, trees=200, depth=20),
     }
     return flows.train_and_evaluate(prepared, _LABEL, _FEATURES, fitters)
 
