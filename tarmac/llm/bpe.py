@@ -135,12 +135,13 @@ class Codec:
             return self._leaf(text)
         middle = len(text) // 2
         found = _BORDER.search(text, middle)
-        if found is None:
-            found = _BORDER.search(text, LEAF_CHARS // 2)
-        if found is None:  # one unbroken run: the tree goes on inside its pre-tokens
+        at = found.start() if found else text.rfind(" ", 0, middle)
+        while found is None and at > 0 and (text[at - 1].isspace() or text[at + 1].isspace()):
+            at = text.rfind(" ", 0, at)
+        if at <= 0:  # one unbroken run: the tree goes on inside its pre-tokens
             return self._leaf(text)
         # A single space between two others starts a pre-token: nothing outside can change.
-        return self.encode(text[: found.start()]) + self.encode(text[found.start() :])
+        return self.encode(text[:at]) + self.encode(text[at:])
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_TOKENS:
