@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import bpe, gam, mixing, resemblance
+from tarmac.llm import bpe, gam, mixing, simhash
 from tarmac.llm.common import fold, table, text_or_empty
 from tarmac.session import cut_lineage
 
@@ -21,9 +21,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the smallest doc_id.
 
-    Near-duplicates share 0.8 of their shingles of five words; op3's four words and four bits bind its query only.
+    Groups are those of op3: fingerprints of four-word shingles, linked at four differing bits or fewer.
     """
-    return resemblance.keep_one(docs, similarity=0.8, words_per_shingle=5)
+    return simhash.keep_one(docs, radius=4, words_per_shingle=4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
