@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,27 @@ def scratch_name(df: DataFrame, wanted: str) -> str:
 def width(df: DataFrame, least: int = 8) -> int:
     """Partitions for a shuffle of known work: the session's, not fewer than ``least``."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+class Memo(dict):
+    """Results of ``make`` by key, in bounded memory.
+
+    Only keys of up to ``longest`` characters or bytes are kept (any key where it is None). A full
+    table becomes the old one and a new one starts; what is still asked for moves over.
+    """
+
+    def __init__(self, make: Callable, entries: int = 1 << 17, longest: int | None = 64) -> None:
+        super().__init__()
+        self.make, self.entries, self.longest, self.old = make, entries, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if self.longest is not None and len(key) > self.longest:
+                return value
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

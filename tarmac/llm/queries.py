@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
+import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, gam, html, lsh, maxent, mixing, order_minhash, simhash, token_counts, urls
+from tarmac.llm import bpe, gam, html, lsh, maxent, mixing, order_minhash, periodic_runs, piece_bpe, simhash, token_counts, urls
 from tarmac.llm.common import fold, table, text_or_empty
 from tarmac.llm.neighbours_in_order import with_next
 
@@ -106,6 +108,57 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", predicted)
 
 
+def loop_words(key: str, words: list[bytes]) -> list[bytes]:
+    """A tenth of the texts, by crc32 of their id, repeat a stretch of their words to their end."""
+    h, n = zlib.crc32(key.encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return [*words[:start], *(words[start + i % period] for i in range(n - start))]
+
+
+def _looped(key: Column, text: Column) -> Column:
+    @F.pandas_udf("string")
+    def loop(keys: pd.Series, texts: pd.Series) -> pd.Series:
+        looped = [b" ".join(loop_words(k, t.encode("utf-8").split())).decode("utf-8") for k, t in zip(keys, texts, strict=True)]
+        return pd.Series(looped, dtype=object)
+
+    return loop(key, text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", _looped(text_or_empty("doc_id"), text_or_empty("text")).alias("text"))
+    found = periodic_runs.with_runs(texts)
+    best = """array_sort(runs, (a, b) -> CASE
+        WHEN a.length * b.period <> b.length * a.period THEN IF(a.length * b.period > b.length * a.period, -1, 1)
+        WHEN a.start <> b.start THEN IF(a.start < b.start, -1, 1) ELSE IF(a.period < b.period, -1, IF(a.period > b.period, 1, 0)) END)"""
+    found = found.withColumn("best", F.try_element_at(F.expr(best), F.lit(1)))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best")["start"].alias("start"),
+        F.col("best")["length"].alias("length"),
+        F.col("best")["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_bpe.encode_and_decode(texts, public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id",
+        F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_html": op2_html,
@@ -117,6 +170,8 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_runs": op11_runs,
+    "op12_pieces": op12_pieces,
 }
 
 _WORDS = "(?:^|[^0-9a-z/])({})(?:$|[^0-9a-z/])".format("|".join(re.escape(r.text) for r in urls.WORD_RULES))
