@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, gam, html, lsh, maxent, mixing, order_minhash, periodic_runs, piece_bpe, simhash, token_counts, urls
+from tarmac.llm import bpe, gam, html, lsh, maxent, mixing, order_minhash, periodic_runs, piece_bpe, simhash, spelling, token_counts, urls
 from tarmac.llm.common import fold, table, text_or_empty
 from tarmac.llm.neighbours_in_order import with_next
 
@@ -159,6 +159,15 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = spelling.occurrences(table(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat(text_or_empty("id"), F.lit(":"), "word").cast("binary"))
+    at = (h % F.length("word")).cast("int")
+    shorter = F.concat(F.substring("word", F.lit(1), at), F.substr("word", at + 2))
+    words = seen.select(F.when(h % 31 == 0, shorter).otherwise(F.col("word")).alias("word"))
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_html": op2_html,
@@ -172,6 +181,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_runs": op11_runs,
     "op12_pieces": op12_pieces,
+    "op13_spelling": op13_spelling,
 }
 
 _WORDS = "(?:^|[^0-9a-z/])({})(?:$|[^0-9a-z/])".format("|".join(re.escape(r.text) for r in urls.WORD_RULES))
