@@ -30,6 +30,25 @@ from tarmac.llm.common import Memo, scratch_name, text_or_empty
 SPACE = "▁"
 _NONE = -1
 _NEVER = 1 << 60
+#: Characters of a text whose table is kept for other texts that begin with them.
+BEGIN = 6
+
+
+class Rows(list):
+    """Results of ``make(row, key)`` in a table per row, all dropped when there are too many."""
+
+    def __init__(self, make, size: int, entries: int = 1 << 19) -> None:
+        super().__init__({} for _ in range(size))
+        self.make, self.entries, self.held = make, entries, 0
+
+    def add(self, row: int, key):
+        if self.held >= self.entries:
+            for table in self:
+                table.clear()
+            self.held = 0
+        self.held += 1
+        value = self[row][key] = self.make(row, key)
+        return value
 
 
 class Automaton:
@@ -61,7 +80,7 @@ class Automaton:
             level = [(state, c, child) for _, _, state in level for c, child in self.below[state].items()]
             depth += 1
         #: By state and character, as far as texts have shown them.
-        self.step = Memo(lambda key: self.next_state(key >> 21, chr(key & 0x1FFFFF)), longest=None)
+        self.steps = Rows(self.next_state, len(self.below))
 
     def next_state(self, state: int, c: str) -> int:
         while c not in self.below[state]:
@@ -107,8 +126,10 @@ class PieceCodec:
         self.automaton = Automaton(self.text_of)
         inner = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal)
         self.parts = re.compile("(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._compatible = Memo(self._is_compatible, entries=1 << 19, longest=None)
-        self._kept = Memo(self._encode_part)
+        #: By right and left symbol.
+        self._compatible = Rows(self._is_compatible, len(self.text_of))
+        self._begun = Memo(lambda text: self._go_on([_NONE], 0, text))
+        self._kept = Memo(self._encode_part, entries=1 << 18)
 
     def _as_bytes(self, text: str) -> bytes:
         return array("I", [self.byte_ids[b] for b in text.encode("utf-8")]).tobytes()
@@ -131,14 +152,14 @@ class PieceCodec:
             lasts.append(symbols[-1])
         return len(ranks), [*ranks, _NEVER], firsts, lasts
 
-    def _is_compatible(self, pair: int) -> bool:
+    def _is_compatible(self, second: int, first: int) -> bool:
         """Whether two symbols next to each other come to be without a merge across their border.
 
         Both histories go on in the order of their ranks, the left one first on ties; a merge across
         would come when it ranks before the next of the left and not after the next of the right.
         """
-        left, _, lasts = self.past[pair >> 32]
-        right, firsts, _ = self.past[pair & 0xFFFFFFFF]
+        left, _, lasts = self.past[first]
+        right, firsts, _ = self.past[second]
         rank = self.rank.get
         i = j = 0
         while True:
@@ -156,16 +177,29 @@ class PieceCodec:
 
     def last_symbols(self, text: str) -> list[int]:
         """Per prefix of a text, the last symbol of its encoding; none for the empty one and after an unknown character."""
-        last = [_NONE] * (len(text) + 1)
-        compatible, step, found, state = self._compatible, self.automaton.step, self.automaton.found, 0
-        for at, c in enumerate(text, 1):
-            state = step[state << 21 | ord(c)]
+        return self._go_on(*self._begun[text[:BEGIN]], text)[0]
+
+    def _go_on(self, last: list[int], state: int, text: str) -> tuple[list[int], int]:
+        """``last``, known for a first part of ``text`` that ends in ``state``, for all of it, and the state then."""
+        at = len(last)
+        last = last + [_NONE] * (len(text) + 1 - at)
+        compatible, steps, found = self._compatible, self.automaton.steps, self.automaton.found
+        for c in text[at - 1 :]:
+            try:
+                state = steps[state][c]
+            except KeyError:
+                state = steps.add(state, c)
             for symbol, length in found[state]:
                 before = last[at - length]
-                if before == _NONE or compatible[before << 32 | symbol]:
+                if before == _NONE:
+                    last[at] = symbol
+                    break
+                fits = compatible[symbol].get(before)
+                if compatible.add(symbol, before) if fits is None else fits:
                     last[at] = symbol
                     break
-        return last
+            at += 1
+        return last, state
 
     def _encode_part(self, text: str) -> bytes:
         last, at, back = self.last_symbols(text), len(text), []
