@@ -12,7 +12,7 @@ from tarmac.functions import scalar as fx
 from tarmac.operators import balance, clean, correlation, features, impute, isolation, joins, models, neighbours, normality
 from tarmac.operators import order_stats, select, skew
 from tarmac.plans import flows
-from tarmac.session import new_path, scratch_dir
+from tarmac.session import cut_lineage, new_path, scratch_dir
 from tarmac.sources import domain, snapshots, tables
 
 
@@ -47,6 +47,23 @@ def test_knn_matches_brute_force_with_copies(spark, points, chunk_rows):
     assert (out["id"] != out["neighbour"]).all()
 
 
+def test_tree_levels_and_visits_grow_with_the_rows(spark):
+    visits, levels = [], []
+    for n in (400, 2_000, 10_000):
+        x = np.random.default_rng(n).random((n, 2))
+        kth = np.concatenate([np.partition(((part[:, None] - x[None]) ** 2).sum(axis=2), 3, axis=1)[:, 3] for part in np.array_split(x, 20)]) ** 0.5
+        frame = pd.DataFrame({"id": np.arange(n), "g": "g", "v": list(x), "kth": kth})
+        rows = cut_lineage(spark.createDataFrame(frame).withColumn("h", fx.unit_hash(F.col("id"))))
+        placed, nodes, depth = neighbours.grow_tree(rows.drop("kth"), "bigint", 8)
+        assert placed.count() == n and placed.select("id").distinct().count() == n
+        assert nodes.groupBy("parent").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= neighbours.FAN
+        visits.append(neighbours.find_visits(rows.select("id", "g", "kth"), placed, nodes, depth, 3, "bigint").count())
+        levels.append(depth)
+    assert levels[0] < levels[-1] and levels[-1] >= 3
+    for few, many in zip(visits, visits[1:]):
+        assert many < few * 5**1.5
+
+
 def test_smote_reaches_targets_on_segments(spark, points):
     df, frame = points
     out = balance.smote(df, "y", "id", ["a", "b", "c"], k=3).toPandas()
