@@ -15,6 +15,7 @@ import functools
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -22,32 +23,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import scratch_name, text_or_empty
+from tarmac.llm.common import Memo, scratch_name, text_or_empty
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 8
 LEAF_TOKENS = 4096
-#: Entries a worker keeps of each kind of result; a full table starts anew, so memory is bounded.
-KEPT = 1 << 18
+#: Bytes from which a window is merged by a heap.
+LONG = 48
 
 _RUN = re.compile(r"\s\s")
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
-class _Memo(dict):
-    """A bounded memo table."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= KEPT:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -60,15 +47,17 @@ class Codec:
         self.ranks = ranks
         self.bytes_of = {i: token for token, i in ranks.items()}
         self.find_all = regex.compile(pattern).findall
-        self._small = _Memo(self.merge)
-        self._stable = _Memo(self._is_stable)
-        self._pieces = _Memo(self._pack_piece)
-        self._after_space = _Memo(lambda chunk: self._pack_pieces(" " + chunk))
+        self._small = Memo(self.merge)
+        self._stable = Memo(self._is_stable, longest=None)
+        self._pieces = Memo(self._pack_piece)
+        self._after_space = Memo(lambda chunk: self._pack_pieces(" " + chunk))
 
     # One pre-token.
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost on ties; the leaf step of the tree."""
+        if len(piece) >= LONG:
+            return self._merge_by_heap(piece)
         rank = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
@@ -82,6 +71,32 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _merge_by_heap(self, piece: bytes) -> list[int]:
+        """``merge`` for long pieces: candidates wait in a heap, parts are linked by the places where they start."""
+        rank, n = self.ranks.get, len(piece)
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, end = heappop(heap)
+            middle = ends[i]
+            # Out of date when the part is gone or has grown, or its neighbour has.
+            if middle == 0 or middle >= end or ends[middle] != end:
+                continue
+            ends[i], ends[middle] = end, 0
+            if end < n:
+                before[end] = i
+                if (r := rank(piece[i : ends[end]])) is not None:
+                    heappush(heap, (r, i, ends[end]))
+            p = before[i]
+            if p >= 0 and (r := rank(piece[p:end])) is not None:
+                heappush(heap, (r, p, end))
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[piece[at : ends[at]]])
+            at = ends[at]
+        return out
+
     def _is_stable(self, pair: int) -> bool:
         a, b = pair >> 32, pair & 0xFFFFFFFF
         return self._small[self.bytes_of[a] + self.bytes_of[b]] == [a, b]
@@ -105,11 +120,15 @@ class Codec:
             j = j if right_ok else min(len(right), j + step)
             step *= 2
 
-    def tree(self, piece: bytes) -> list[int]:
+    def tree(self, piece: bytes, done: dict[bytes, list[int]] | None = None) -> list[int]:
+        """Halves apart, then joined; equal halves, as in runs of one byte, are encoded once."""
         if len(piece) <= LEAF_BYTES:
             return self._small[piece]
-        middle = len(piece) // 2
-        return self.join(self.tree(piece[:middle]), self.tree(piece[middle:]))
+        done = {} if done is None else done
+        if piece not in done:
+            middle = len(piece) // 2
+            done[piece] = self.join(self.tree(piece[:middle], done), self.tree(piece[middle:], done))
+        return done[piece]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)

@@ -18,12 +18,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import text_or_empty
+from tarmac.llm.common import Memo, text_or_empty
 
 #: Fixed value: the pre-token pattern of the byte-level library setting.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Counts a worker keeps; a full table starts anew, so memory is bounded.
-KEPT = 1 << 19
 NONE = 1 << 31
 
 _RUN = re.compile(r"\s\s")
@@ -36,18 +34,6 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Memo(dict):
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= KEPT:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class Counter:
     """Counts tokens as the library does for a byte-level BPE file."""
 
@@ -67,8 +53,8 @@ class Counter:
         special = sorted((t["content"] for t in config["added_tokens"]), key=len, reverse=True)
         self.split_special = re.compile("|".join(map(re.escape, special))).split if special else lambda t: [t]
         self.find_all = regex.compile(PATTERN).findall
-        self._pieces = _Memo(lambda piece: self.count_piece(piece.encode("utf-8")))
-        self._after_space = _Memo(lambda chunk: self._count_pieces(" " + chunk))
+        self._pieces = Memo(lambda piece: self.count_piece(piece.encode("utf-8")), entries=1 << 18)
+        self._after_space = Memo(lambda chunk: self._count_pieces(" " + chunk), entries=1 << 18)
 
     def count_piece(self, piece: bytes) -> int:
         """Tokens of one pre-token."""
