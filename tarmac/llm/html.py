@@ -22,14 +22,17 @@ from tarmac.llm.common import named, scratch_name
 #: A subtree is template when it stands on this many different pages of a host, and this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
 
+#: Quotes start a value only after an equals sign.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)",
     re.S,
 )
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[A-Za-z][a-z]*")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements nested deeper than this count as their ancestor at this depth, as in browsers.
+MAX_DEPTH = 512
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript iframe textarea title xmp noembed noframes template".split())
@@ -48,6 +51,11 @@ _MARKED = frozenset(
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "taboola toolbar widget widgets".split()
 )
+#: Words that say where or how large a part is, not what it is: with these a marked word is still the whole name.
+_PLAIN = frozenset(
+    "area articles bar block bottom box btn button buttons c col column container desktop fixed form global group holder icon icons inner item items js l "
+    "left link links list main mobile o outer page panel posts primary right row secondary section site slot small sticky stories top u unit wrap wrapper".split()
+)
 _CLOSED_BY = {
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
@@ -62,85 +70,107 @@ _SCOPES = frozenset("article body div html li main section table td th ul ol dl
 _CONTAINERS = frozenset("address article aside center details dialog dir div fieldset footer form header hgroup main menu nav section summary".split())
 
 
+def _is_marked(name: str) -> bool:
+    """Whether a class, id or role names furniture: marked words, with plain words beside them at most."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return any(w in _MARKED for w in words) and all(w in _MARKED or w in _PLAIN for w in words)
+
+
 class _Node:
-    __slots__ = ("tag", "marks", "hidden", "inside", "prose", "hash")
+    __slots__ = ("tag", "names", "hidden", "hash")
 
     def __init__(self, tag: str, attributes: str) -> None:
         self.tag = tag
-        words: set[str] = set()
+        self.names: list[str] = []
         if attributes:
             for found in _MARK.finditer(attributes):
-                words.update(w.lower() for w in _WORDS.findall(found[1] or found[2] or found[3] or ""))
-        self.marks = words
+                self.names += (found[1] or found[2] or found[3] or "").split()
         self.hidden = bool(attributes) and _HIDDEN.search(attributes) is not None
-        self.hash = xxhash.xxh64(tag.encode())
-
-    def add(self, text: bytes) -> None:
-        self.hash.update(text)
+        self.hash = xxhash.xxh64(tag.encode("utf-8", "replace"))
 
     @property
     def is_content(self) -> bool:
-        return self.tag in ("article", "main") or (self.tag != "html" and "main" in self.marks)
+        return self.tag in ("article", "main") or (self.tag != "html" and any(n.lower() == "main" for n in self.names))
 
     @property
     def is_furniture(self) -> bool:
+        """By its element, or a comment by its class."""
         if self.hidden or self.tag in _FURNITURE:
             return True
-        if self.tag in ("html", "body", "main"):
-            return False
-        if self.tag == "article":
-            return bool(self.marks & {"comment", "comments", "reply"})
-        return bool(self.marks & _MARKED)
+        return self.tag == "article" and any(set(map(str.lower, _WORDS.findall(n))) & {"comment", "comments", "reply"} and _is_marked(n) for n in self.names)
+
+    @property
+    def is_marked(self) -> bool:
+        return self.tag not in ("html", "body", "main", "article") and any(map(_is_marked, self.names))
 
 
 def blocks(html: str) -> list[tuple[str, bool, list[int]]]:
     """(text, is in an article or main element, hashes of the subtrees around it) per block of text.
 
     Furniture is left out. A subtree's hash covers its tags and its text in page order, that of
-    furniture too. What holds the whole page or its article is no subtree in this sense; inside an
-    article only named block containers are, never prose or inline elements.
+    furniture too; it is folded into its parent's when the subtree ends. What holds the whole page or its article is no subtree in this sense; inside an
+    article only named block containers are, never prose or inline elements. A class that names furniture
+    counts above an article only on pages that have another article without one.
     """
     root = _Node("", "")
     stack = [root]
-    found: list[tuple[str, bool, list[_Node]]] = []
+    kinds = [(False, False, False)]  # per open element: furniture, marked, content
+    found: list[tuple[str, bool, list[_Node], bool]] = []
     text: list[str] = []
-    at = 0
+    at = deeper = paragraphs = 0
+    place: tuple | None = None  # as ``where`` gives it, while the open elements stay the same
 
     def flush() -> None:
+        nonlocal place
         if text:
             whole = " ".join(unescape("".join(text)).split())
             text.clear()
             if whole:
-                encoded = whole.encode("utf-8", "replace")
-                for node in stack:
-                    node.add(encoded)
-                if not any(n.is_furniture for n in stack):
-                    content = next((i for i, n in enumerate(stack) if n.is_content), None)
-                    within = stack[1:] if content is None else [n for n in stack[content + 1 :] if n.tag in _CONTAINERS]
-                    found.append((whole, content is not None, [n for n in within if n.tag not in ("html", "body")]))
+                stack[-1].hash.update(whole.encode("utf-8", "replace"))
+                if place is None:
+                    place = where()
+                if place:
+                    found.append((whole, *place))
+
+    def where() -> tuple:
+        """Of the open elements: is content, subtrees, has a marked element above its article; empty in furniture."""
+        if any(f for f, _, _ in kinds):
+            return ()
+        content = next((i for i, (_, _, c) in enumerate(kinds) if c), None)
+        article = max((i for i, n in enumerate(stack) if n.tag == "article"), default=content or 0)
+        above = any(m for _, m, _ in kinds[:article])
+        if any(m for _, m, _ in kinds[article:]) or (content is None and above):
+            return ()
+        within = stack[1:] if content is None else [n for n in stack[content + 1 :] if n.tag in _CONTAINERS]
+        return content is not None, [n for n in within if n.tag not in ("html", "body")], above
 
     def close(depth: int) -> None:
-        if any(n.tag in _BLOCKS or n.tag in _FURNITURE or n.is_furniture for n in stack[depth:]):
+        nonlocal paragraphs, place
+        if any(n.tag in _BLOCKS or f or m for n, (f, m, _) in zip(stack[depth:], kinds[depth:], strict=True)):
             flush()
-        for node in stack[depth - 1 :]:
-            node.add(b">")
-        del stack[depth:]
+        for i in range(len(stack) - 1, depth - 1, -1):
+            paragraphs -= stack[i].tag == "p"
+            stack[i - 1].hash.update(stack[i].hash.digest())
+        del stack[depth:], kinds[depth:]
+        place = None
 
     while (token := _TOKEN.search(html, at)) is not None:
         if token.start() > at:
             text.append(html[at : token.start()])
         at = token.end()
-        tag = token[2] or token[5]
+        tag = token[2]
         if tag is None:
             continue
         tag = tag.lower()
-        if token[1] or token[4]:
+        if token[1]:
+            if deeper and tag not in _VOID:
+                deeper -= 1
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     close(depth)
                     break
             continue
-        attributes = token[3] if token[2] else token[6]
         if tag in _VOID:
             if tag in _BLOCKS:
                 flush()
@@ -151,7 +181,12 @@ def blocks(html: str) -> list[tuple[str, bool, list[int]]]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = len(html) if end is None else end.end()
             continue
-        if tag in _BLOCKS and any(n.tag == "p" for n in stack):
+        if len(stack) > MAX_DEPTH:
+            deeper += 1
+            if tag in _BLOCKS:
+                flush()
+            continue
+        if tag in _BLOCKS and paragraphs:
             depth = max(i for i, n in enumerate(stack) if n.tag == "p")
             if not any(n.tag in _SCOPES for n in stack[depth + 1 :]):
                 close(depth)
@@ -163,18 +198,25 @@ def blocks(html: str) -> list[tuple[str, bool, list[int]]]:
                     break
                 if stack[depth].tag in ("ul", "ol", "dl", "table", "select"):
                     break
-        node = _Node(tag, attributes)
-        if tag in _BLOCKS or node.is_furniture:
+        node = _Node(tag, token[3])
+        kind = (node.is_furniture, node.is_marked, node.is_content)
+        if tag in _BLOCKS or kind[0] or kind[1]:
             flush()
         elif tag in ("td", "th"):
             text.append(" ")
-        for outer in stack:
-            outer.add(b"<" + tag.encode())
         stack.append(node)
+        kinds.append(kind)
+        place = None
+        paragraphs += tag == "p"
     text.append(html[at:])
     close(1)
     flush()
-    return [(t, inside, [n.hash.intdigest() - (1 << 63) for n in around]) for t, inside, around in found]
+    free = any(inside and not above for _, inside, _, above in found)
+    hashes: dict[int, list[int]] = {}  # texts of one place share their list
+    for _, _, around, _ in found:
+        if id(around) not in hashes:
+            hashes[id(around)] = [n.hash.intdigest() - (1 << 63) for n in around]
+    return [(t, inside, hashes[id(around)]) for t, inside, around, above in found if not (above and free)]
 
 
 def _parsed(html: Column) -> Column:
@@ -205,7 +247,7 @@ def extract_text(
 
     A page with an article or main element has the blocks inside it, another one all blocks;
     furniture and template subtrees are left out. White space inside a block is one space;
-    character references are decoded; malformed markup is read as browsers do, roughly. A subtree
+    character references are decoded; malformed markup is read as browsers do, roughly, elements nested over ``MAX_DEPTH`` deep as part of the one at that depth. A subtree
     is template when it stands on at least ``min_pages`` different pages of its host that are at
     least ``min_share`` of them; copies of a page count once. In an article only block
     containers (div, section, aside and the like) can be template, so passages that recur are kept. A null or empty page

@@ -1,7 +1,9 @@
 """Extraction, URL filters, mixing, quality, LM scoring and the pipeline."""
 
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
@@ -47,6 +49,75 @@ def test_blocks(page, want):
     assert texts_of(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='with-sidebar'><article><p>real text</article></div>", ["real text"]),
+        ("<div class='post-comments-off'><article><p>real text</article></div>", ["real text"]),
+        ("<div class='sidebar'><article><p>the only one</article></div>", ["the only one"]),
+        ("<div class='sidebar'><article><p>teaser</article></div><article><p>story</article>", ["story"]),
+        ("<article><div class='entry-header'><h1>Title</h1></div><p>text</article>", ["Title", "text"]),
+        ("<article><div class='share-price'><p>the price</div></article>", ["the price"]),
+        ("<section class='notice-of-motion'><p>moved</section>", ["moved"]),
+        ("<div class='search-results'><p>found</div>", ["found"]),
+        ("<p><a title=it's>text here</a> and don't stop</p>", ["text here and don't stop"]),
+        ("<p title=\"a>b\" data-x='c>d' e = \"f>\">in</p><p x=\"open>out</p>", ["in", "out"]),
+        ("<div class='site-footer'>f</div><div class='adSlot'>a</div><div class='comment-list'>c</div><p class='x NAV'>n</p><p>t", ["t"]),
+        ("<article><p>story</p><section class=comments><article><p>a reader</article></section></article>", ["story"]),
+        ("<article><p>story</p><article class=comment><p>a reader</article></article>", ["story"]),
+    ],
+)
+def test_furniture_is_named_by_whole_classes(page, want):
+    assert texts_of(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "<p>text",
+        "<div>x" * 20_000,
+        "<p><b>" * 50_000 + "t",
+        "<a b='" * 50_000,
+        "<a b=\"'" * 50_000,
+        "<ul><li>" * 30_000 + "z",
+        "</div>" * 100_000 + "x",
+        "<" * 200_000,
+        "&amp;" * 100_000,
+    ],
+)
+def test_hostile_markup_takes_linear_time(page):
+    start = time.thread_time()
+    html.blocks(page)
+    assert time.thread_time() - start < 6
+
+
+def test_text_below_the_depth_limit_stays():
+    page = "<div>" * 1000 + "<p>deep</p>" + "</div>" * 1000 + "<p>after</p>"
+    assert texts_of(page) == ["deep", "after"]
+
+
+def test_template_counts_by_brute_force(spark):
+    """Subtrees counted by their text instead of hashes, over pages of nested boxes."""
+    draw, rows = random.Random(5), []
+    parts = [f"<div>box {i}<span>s</span></div>" for i in range(6)] + [f"<ul><li>item {i}</ul>" for i in range(4)]
+    for i in range(60):
+        chosen = draw.sample(parts, 3)
+        rows.append((i, f"http://h{i % 2}.test/", "<section>" + "".join(chosen) + f"<p>own {i}</p></section>"))
+    pages_of = defaultdict(set)
+    for i, url, page in rows:
+        for part in parts:
+            if part in page:
+                pages_of[url, part].add(page)
+    sizes = Counter(url for _, url, _ in {(0, u, p) for _, u, p in rows})
+    want = {}
+    for i, url, page in rows:
+        left = [p for p in re.findall("<div>.*?</div>|<ul>.*?</ul>|<p>.*?</p>", page) if len(pages_of[url, p]) < max(5, 0.4 * sizes[url])]
+        want[i] = "\n".join(" ".join(re.sub("<[^>]*>", "", x).split()) for x in left)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_text(df, min_share=0.4).collect()}
+    assert got == want and any("box" in t for t in want.values()) and any("box" not in t for t in want.values())
+
+
 def test_extraction_query(spark, sf_dir):
     got = {r.page_id: r for r in queries.QUERIES["op2_html"](spark, sf_dir).collect()}
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
