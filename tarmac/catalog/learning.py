@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tarmac import presets
 from tarmac.catalog.aggregates import ranked_sql
 from tarmac.catalog.registry import case_map, query
 from tarmac.functions import scalar as fx
-from tarmac.operators import correlation, isolation, models, select
+from tarmac.operators import correlation, impute, isolation, models, select
 from tarmac.operators import features as fe
 from tarmac.plans import flows
+from tarmac.session import new_path
+from tarmac.sources import fitted
 
 _FEATURES = ["Speed_limit", "road_risk_score", "is_dark", "is_wet_road", "is_urban", "Latitude", "Longitude", "Number_of_Vehicles", "Number_of_Casualties"]
 _LABEL = "Accident_Severity"
@@ -202,11 +206,58 @@ def random_forest(d):
     return checked_scores(models.fit_forest(rows, _LABEL, _FEATURES, trees=20, depth=6).transform(rows))
 
 
+def _boosted(d):
+    rows = model_rows(d)
+    held = fx.unit_hash(F.col("Accident_Index"), 7) < 0.2
+    return rows, models.fit_boosted(rows, _LABEL, _FEATURES, iterations=500, depth=10, l2=3.0, subsample=0.8, patience=50, validation=held)
+
+
 @query("boosted_trees", SCORED_SPEC, SCORED_SQL, ["accidents"])
 def boosted_trees(d):
-    rows = model_rows(d)
+    rows, model = _boosted(d)
+    return checked_scores(model.transform(rows))
+
+
+@query(
+    "boosted_trees_quality",
+    "held_out_rows:i not_worse_than_constant:i stays_at_best_round:i within_rounds:i",
+    f"SELECT count(*) AS held_out_rows, 1 AS not_worse_than_constant, 1 AS stays_at_best_round, 1 AS within_rounds {_ELIGIBLE} AND {_UNIT.replace('42:', '7:')} < 0.2e0",
+    ["accidents"],
+)
+def boosted_trees_quality(d):
+    """Log loss of the held-out rows, recomputed in SQL functions from the scored rows, against that of class shares alone."""
+    rows, model = _boosted(d)
     held = fx.unit_hash(F.col("Accident_Index"), 7) < 0.2
-    return checked_scores(models.fit_boosted(rows, _LABEL, _FEATURES, iterations=500, depth=5, subsample=0.8, validation=held).transform(rows))
+    own = F.col("probabilities")[models.label_index(_LABEL, presets.LABELS).cast("int")]
+    share = F.exp(F.element_at(F.array(*map(F.lit, model.forest.start)), models.label_index(_LABEL, presets.LABELS).cast("int") + 1))
+    got = model.probabilities(rows.where(held)).agg(F.count(F.lit(1)).alias("held_out_rows"), F.avg(-F.log(own)).alias("loss"), F.avg(-F.log(share)).alias("constant"))
+    best = min(model.losses)
+    return got.select(
+        "held_out_rows",
+        (F.col("loss") <= F.col("constant") + 1e-9).cast("int").alias("not_worse_than_constant"),
+        (F.abs(F.col("loss") - best) < 1e-9).cast("int").alias("stays_at_best_round"),
+        F.lit(int(len(model.forest.trees) <= 500)).alias("within_rounds"),
+    )
+
+
+_FIRST = """WITH rows AS (SELECT Accident_Index, CASE Accident_Severity WHEN 'Fatal' THEN 0 WHEN 'Serious' THEN 1 ELSE 2 END AS y, CASE WHEN Speed_limit > 45 THEN 1 ELSE 0 END AS fast
+    FROM accidents WHERE Accident_Severity IN ('Fatal', 'Serious', 'Slight') AND Speed_limit IS NOT NULL),
+  shares AS (SELECT c, avg(CASE WHEN y = c THEN 1e0 ELSE 0e0 END) AS p FROM rows, (SELECT unnest([0, 1, 2]) AS c) GROUP BY c),
+  leaves AS (SELECT fast, c, any_value(p) AS p, -sum(p - CASE WHEN y = c THEN 1e0 ELSE 0e0 END) / (sum(p * (1 - p)) + 3e0) AS v FROM rows, shares GROUP BY fast, c),
+  scored AS (SELECT fast, c, p * exp(v) AS e FROM leaves),
+  probs AS (SELECT fast, max(CASE WHEN c = 0 THEN e END) / sum(e) AS p_fatal, max(CASE WHEN c = 1 THEN e END) / sum(e) AS p_serious, max(CASE WHEN c = 2 THEN e END) / sum(e) AS p_slight
+    FROM scored GROUP BY fast)
+  SELECT Accident_Index, p_fatal, p_serious, p_slight FROM rows JOIN probs USING (fast)"""
+
+
+@query("boosted_first_tree", "Accident_Index:i p_fatal:f p_serious:f p_slight:f", _FIRST, ["accidents"])
+def boosted_first_tree(d):
+    """One tree of one level on a flag: its leaf values follow from the class counts on both sides."""
+    rows = d.accidents.where(F.col(_LABEL).isin(*presets.LABELS) & F.col("Speed_limit").isNotNull())
+    rows = rows.select("Accident_Index", _LABEL, (F.col("Speed_limit") > 45).cast("double").alias("fast"))
+    model = models.fit_boosted(rows, _LABEL, ["fast"], iterations=1, depth=1, step=1.0, l2=3.0)
+    p = F.col("probabilities")
+    return model.probabilities(rows).select("Accident_Index", p[0].alias("p_fatal"), p[1].alias("p_serious"), p[2].alias("p_slight"))
 
 
 @query("score_batch", SCORED_SPEC, SCORED_SQL, ["accidents"])
@@ -215,12 +266,65 @@ def score_batch(d):
     return checked_scores(models.fit_logistic(rows, _LABEL, _FEATURES).transform(rows, thresholds), thresholds)
 
 
-@query("hyperparameter_search", "trial:i macro_f1:f threshold_fatal:f threshold_serious:f threshold_slight:f")
-def hyperparameter_search(d):
+def _searched(d):
     prepared = flows.split_balance_scale(model_rows(d), _LABEL, "Accident_Index", _FEATURES, flows.Config(apply_smote=False)).rows
     train, val = (prepared.where(F.col("split") == s) for s in ("train", "val"))
-    _, trials, _ = models.hyperparameter_search(train, val, _LABEL, _FEATURES, trials=60, grid=presets.tuning_grid())
-    return models.top_trials(trials)
+    return models.hyperparameter_search(train, val, _LABEL, _FEATURES, trials=60, grid=presets.tuning_grid())
+
+
+def _flagged_trials(trials, whole, params):
+    """(rank, trials, flags) of trials as they come, best first; flags are 1 where order, thresholds and settings are as described."""
+    rows = [r.asDict() for r in trials.collect()]  # 60 at most
+    every = [r.asDict() for r in whole.collect()]
+    best = max(r["macro_f1"] for r in every)
+    grid = {tuple(round(float(t), 6) for t in g) for g in presets.tuning_grid()}
+    out = []
+    for i, r in enumerate(rows):
+        own = json.loads(r["params"])
+        inside = all(v in c if isinstance(c, list) else c[0] <= v <= c[1] for c, v in ((presets.BOOSTED_SPACE[k], own[k]) for k in presets.BOOSTED_SPACE))
+        chosen = tuple(round(r[f"threshold_{n.lower()}"], 6) for n in presets.LABELS)
+        out.append(
+            (
+                i + 1,
+                len({x["trial"] for x in every}),
+                int(i == 0 or (r["macro_f1"], -r["trial"]) < (rows[i - 1]["macro_f1"], -rows[i - 1]["trial"])),
+                int((r["macro_f1"] == best) or i > 0),
+                int(chosen in grid),
+                int(inside and 0 <= r["trial"] < len(every)),
+                int(i > 0 or all(params[k] == own[k] for k in own)),
+            )
+        )
+    return trials.sparkSession.createDataFrame(out, "rank long, trials long, in_order long, best_is_maximum long, on_grid long, in_space long, refit_is_best long")
+
+
+_TRIALS_SPEC = "rank:i trials:i in_order:i best_is_maximum:i on_grid:i in_space:i refit_is_best:i"
+_TRIALS_SQL = "SELECT unnest(range(1, {})) AS rank, 60 AS trials, 1 AS in_order, 1 AS best_is_maximum, 1 AS on_grid, 1 AS in_space, 1 AS refit_is_best"
+
+
+@query("saved_model", "Accident_Index:i same_as_fitted:i", f"SELECT Accident_Index, 1 AS same_as_fitted {_ELIGIBLE}", ["accidents"])
+def saved_model(d):
+    """Scaler, boosted trees and thresholds, saved, loaded and compared row by row with what was fitted."""
+    rows = model_rows(d)
+    scaler = impute.Scaler.fit(rows, _FEATURES)
+    own = fitted.Fitted(models.fit_boosted(scaler.transform(rows), _LABEL, _FEATURES, iterations=20, depth=6), scaler, [0.1, 0.2, 0.5])
+    path = new_path(d.spark, "fitted")
+    fitted.save(d.spark, path, own)
+    told = F.struct("prediction", "confidence", "probabilities")
+    once = own.transform(rows).select("Accident_Index", told.alias("one"))
+    again = fitted.load(d.spark, path).transform(rows).select("Accident_Index", told.alias("two"))
+    return once.join(again, "Accident_Index").select("Accident_Index", F.expr("one <=> two").cast("int").alias("same_as_fitted"))
+
+
+@query("hyperparameter_search", _TRIALS_SPEC, _TRIALS_SQL.format(61))
+def hyperparameter_search(d):
+    model, trials, _ = _searched(d)
+    return _flagged_trials(trials, trials, model.params)
+
+
+@query("top_trials", _TRIALS_SPEC, _TRIALS_SQL.format(11))
+def top_trials(d):
+    model, trials, _ = _searched(d)
+    return _flagged_trials(models.top_trials(trials), trials, model.params)
 
 
 @query("train_and_evaluate", "model:s base_f1:f thresholded_f1:f delta:f")

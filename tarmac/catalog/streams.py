@@ -10,7 +10,7 @@ from tarmac.catalog.registry import case_map, query
 from tarmac.operators import features as fe
 from tarmac.operators import models
 from tarmac.session import new_path
-from tarmac.sources import domain
+from tarmac.sources import domain, fitted
 from tarmac.streaming import scoring
 
 
@@ -58,7 +58,10 @@ def row_local_features_stream(d):
 
 @query("score_stream", SCORED_SPEC, SCORED_SQL.replace(_KEPT, "true"), ["accidents"])
 def score_stream(d):
-    model = models.fit_logistic(model_rows(d), _LABEL, _FEATURES)
+    # Scored by the stored model, as a stream that starts later would be.
+    store = new_path(d.spark, "fitted")
+    fitted.save(d.spark, store, fitted.Fitted(models.fit_logistic(model_rows(d), _LABEL, _FEATURES)))
+    model = fitted.load(d.spark, store)
 
     def prepare(df):
         out = fe.road_surface_flag(fe.lighting_features(fe.urban_flag(fe.road_risk_score(df))))

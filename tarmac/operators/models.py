@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-import random
+import json
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tarmac import presets
 from tarmac.functions import scalar as fx
-from tarmac.operators import balance, evaluate
+from tarmac.operators import balance, boosting, tuning
 from tarmac.schema import col
 from tarmac.session import cut_lineage
 
@@ -27,28 +25,15 @@ class Scored:
     """A fitted model: ``transform`` adds prediction, probabilities, probability map, confidence."""
 
     labels: list[str]
-    stages: list[tuple[PipelineModel, int | None]]
-    keep_raw: bool = False
+    stages: list[PipelineModel]
     params: dict = field(default_factory=dict)
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         """Add ``probabilities``, one double per label in the fixed order."""
-        if len(self.stages) == 1 and self.stages[0][1] is None:
-            out = self.stages[0][0].transform(df)
-            return out.withColumn("probabilities", vector_to_array("probability")).drop(
-                "features", "rawPrediction", "probability", "prediction"
-            )
         out = df
-        for model, index in self.stages:
-            out = model.transform(out)
-            out = out.withColumn(f"_p{index}", vector_to_array("probability")[1]).drop(
-                "features", "rawPrediction", "probability", "prediction"
-            )
-        raw = [F.col(f"_p{i}") for i in range(len(self.labels))]
-        total = sum(raw[1:], raw[0])
-        even = 1.0 / len(raw)
-        shares = [F.when(total > 0, p / total).otherwise(even) for p in raw]
-        return out.withColumn("probabilities", F.array(*shares)).drop(*[f"_p{i}" for i in range(len(raw))])
+        for stage in self.stages:
+            out = stage.transform(out)
+        return out.withColumn("probabilities", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction")
 
     def transform(self, df: DataFrame, thresholds: Sequence[float] | None = None) -> DataFrame:
         out = self.probabilities(df)
@@ -101,7 +86,7 @@ def fit_logistic(
         featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (c * max(n, 1)), maxIter=max_iter
     )
     model = Pipeline(stages=[_assembler(features), lr]).fit(_with_all_classes(rows, labels, features))
-    return Scored(list(labels), [(model, None)])
+    return Scored(list(labels), [model])
 
 
 def fit_forest(
@@ -121,7 +106,19 @@ def fit_forest(
         featuresCol="features", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=min_leaf, seed=seed
     )
     model = Pipeline(stages=[_assembler(features), rf]).fit(_with_all_classes(rows, labels, features))
-    return Scored(list(labels), [(model, None)])
+    return Scored(list(labels), [model])
+
+
+@dataclass
+class Boosted(Scored):
+    """A fitted model of boosted trees."""
+
+    forest: boosting.Forest | None = None
+    features: list[str] = field(default_factory=list)
+    losses: list[float] = field(default_factory=list)
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        return boosting.with_probabilities(df, self.forest, self.features)
 
 
 def fit_boosted(
@@ -129,43 +126,22 @@ def fit_boosted(
     label: str,
     features: Sequence[str],
     labels: Sequence[str] = presets.LABELS,
-    iterations: int = 100,
-    depth: int = 6,
-    step: float = 0.1,
-    min_leaf: int = 1,
-    subsample: float = 1.0,
-    feature_share: float = 1.0,
-    min_gain: float = 0.0,
     validation: Column | None = None,
-    tolerance: float = 0.01,
     weights: Mapping[str, float] | None = None,
     require_all: bool = False,
-    seed: int = 42,
-    parallelism: int = 3,
-) -> Scored:
-    """Boosted trees, one against the rest per class, with shares of the class scores as probabilities.
+    **settings,
+) -> Boosted:
+    """Boosted trees for all classes at once, with a softmax loss and a penalty on leaf values.
 
-    Rows that ``validation`` marks are not trained on: a class stops adding trees once its error
-    on them no longer falls by ``tolerance``. ``feature_share`` of the features is tried at each
-    split, and a split must gain ``min_gain``. Spark's trees have no penalty on leaf values.
+    ``settings`` are those of ``boosting.Settings``: iterations, depth, step, l2, min_leaf, subsample, feature_share, min_gain,
+    patience, seed. Rows that ``validation`` marks are not trained on: growing stops when their
+    loss has not fallen for ``patience`` rounds, and the trees up to the best round stay.
     """
     rows, _ = _training(df, label, labels, weights, require_all)
-    # Each class fits on the same rows; they are computed once.
-    rows = cut_lineage(rows.withColumn("_held", F.lit(False) if validation is None else F.coalesce(validation, F.lit(False))))
-    stop_early = {} if validation is None else {"validationIndicatorCol": "_held", "validationTol": tolerance}
-
-    def fit_one(i: int) -> tuple[PipelineModel, int]:
-        gbt = GBTClassifier(
-            featuresCol="features", labelCol="_is", weightCol="_w", maxIter=iterations, maxDepth=depth, stepSize=step,
-            minInstancesPerNode=min_leaf, subsamplingRate=subsample, seed=seed,
-            featureSubsetStrategy="all" if feature_share >= 1.0 else str(feature_share), minInfoGain=min_gain, **stop_early,
-        )
-        binary = rows.withColumn("_is", (F.col("_y") == float(i)).cast("double"))
-        return Pipeline(stages=[_assembler(features), gbt]).fit(binary), i
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        stages = list(pool.map(fit_one, range(len(labels))))
-    return Scored(list(labels), stages)
+    held = F.lit(False) if validation is None else F.coalesce(validation, F.lit(False))
+    rows = cut_lineage(rows.select("_y", "_w", held.alias("_held"), *[col(f) for f in features]))
+    forest, losses = boosting.fit(rows, features, len(labels), boosting.Settings(**settings))
+    return Boosted(list(labels), [], params=dict(settings), forest=forest, features=list(features), losses=losses)
 
 
 def _with_all_classes(rows: DataFrame, labels: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -203,20 +179,6 @@ def baseline(
     return df.withColumn("prediction", F.lit(names[-1]) if chosen is None else chosen.otherwise(names[-1]))
 
 
-def draw_trial(space: Mapping, rng: random.Random) -> dict:
-    out = {}
-    for name, choice in space.items():
-        if isinstance(choice, list):
-            out[name] = rng.choice(choice)
-        else:
-            low, high, scale = choice
-            if scale == "int":
-                out[name] = rng.randint(low, high)
-                continue
-            out[name] = math.exp(rng.uniform(math.log(low), math.log(high))) if scale == "log" else rng.uniform(low, high)
-    return out
-
-
 def hyperparameter_search(
     train: DataFrame,
     val: DataFrame,
@@ -225,51 +187,31 @@ def hyperparameter_search(
     space: Mapping = presets.BOOSTED_SPACE,
     trials: int = 60,
     seed: int = 42,
-    parallelism: int = 2,
     grid=None,
     labels: Sequence[str] = presets.LABELS,
     overrides: Mapping | None = None,
-) -> tuple[Scored, DataFrame, list[float]]:
-    """Random search for the best thresholded macro F1 on ``val``; refit on train ∪ val.
+    **options,
+) -> tuple[Boosted, DataFrame, list[float]]:
+    """Adaptive search for the best thresholded macro F1 on ``val``; refit on train ∪ val.
 
-    Trials stop early by their error on ``val``; the refit grows as many trees as the best trial at most.
-
-    Returns the refitted model, a table of trials (best first) and the best thresholds.
-    Trials differ by a seeded draw; ``overrides`` fixes single parameters.
+    Trials stop early by their loss on ``val`` or at a rung (see ``tuning``); the refit grows as many
+    trees as the best trial kept. Returns the refitted model, a table of trials (best first) and the best
+    thresholds. ``overrides`` fixes single parameters; ``options`` go to ``tuning.search``.
     """
-    rng = random.Random(seed)
-    drawn = [{**draw_trial(space, rng), **(overrides or {})} for _ in range(trials)]
     grid = presets.tuning_grid() if grid is None else grid
-    both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)), allowMissingColumns=True)
-    both = cut_lineage(both)  # every trial reads it
-    val = both.where("_val")
-
-    def run(params: dict):
-        model = _fit_trial(both, label, features, params, labels, seed, F.col("_val"))
-        scored = model.probabilities(val)
-        named = scored.withColumns({f"p{i}": F.col("probabilities")[i] for i in range(len(labels))})
-        best = evaluate.threshold_search(named, label, [f"p{i}" for i in range(len(labels))], grid, labels).first()
-        grown = max(m.stages[-1].getNumTrees for m, _ in model.stages)
-        return best["macro_f1"], [best[f"threshold_{name.lower()}"] for name in labels], grown
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(run, drawn))
-    order = sorted(range(trials), key=lambda i: (-results[i][0], i))
-    best = order[0]
-    spark = train.sparkSession
-    table = spark.createDataFrame(
-        [(i, results[i][0], *map(float, results[i][1]), str(drawn[i])) for i in order],
-        "trial int, macro_f1 double, " + ", ".join(f"threshold_{n.lower()} double" for n in labels) + ", params string",
+    both = train.withColumn("_held", F.lit(False)).unionByName(val.withColumn("_held", F.lit(True)), allowMissingColumns=True)
+    rows, _ = _training(both, label, labels, None, False)
+    rows = cut_lineage(rows.select(col(label), "_y", "_held", *[col(f) for f in features]))
+    done = tuning.search(rows, features, labels, space, grid, trials, seed=seed, overrides=overrides, **options)
+    best = done[0]
+    table = train.sparkSession.createDataFrame(
+        [(t["trial"], t["macro_f1"], *t["thresholds"], t["trees"], json.dumps(t["params"], sort_keys=True)) for t in done],
+        "trial int, macro_f1 double, " + ", ".join(f"threshold_{n.lower()} double" for n in labels) + ", trees int, params string",
     )
-    model = _fit_trial(both, label, features, {**drawn[best], "iterations": results[best][2]}, labels, seed)
-    model.params.update(drawn[best])
-    return model, table, results[best][1]
-
-
-def _fit_trial(df: DataFrame, label: str, features: Sequence[str], params: Mapping, labels: Sequence[str], seed: int, validation: Column | None = None) -> Scored:
-    own = dict(params)
-    weights = {"Fatal": own.pop("fatal_weight", 1.0), "Serious": own.pop("serious_weight", 1.0), "Slight": 1.0}
-    return fit_boosted(df, label, features, labels, weights=weights, seed=seed, validation=validation, **own)
+    settings, weights = tuning.settings_of({**best["params"], "iterations": best["trees"]}, labels, seed)
+    model = fit_boosted(rows, label, features, labels, weights=dict(zip(labels, weights.tolist(), strict=True)), **asdict(settings))
+    model.params.update(best["params"])
+    return model, table, best["thresholds"]
 
 
 def top_trials(trials: DataFrame, n: int = 10) -> DataFrame:

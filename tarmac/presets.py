@@ -267,11 +267,12 @@ def tuning_grid() -> list[tuple[float, float, float]]:
         (a, b, c) for a in steps(0.05, 0.05, 10) for b in steps(0.10, 0.05, 10) for c in steps(0.20, 0.10, 7)
     ]
 
-# ---- Fixed values: search spaces of the tuned boosted trees, as far as Spark's trees have the parameter --
+# ---- Fixed values: search spaces of the tuned boosted trees --
 BOOSTED_SPACE = {
     "depth": [4, 6, 8, 10],
     "step": (0.01, 0.15, "log"),
     "iterations": [500, 1000, 2000, 3000],
+    "l2": (1.0, 30.0, "log"),
     "min_leaf": [1, 5, 10, 20, 50],
     "fatal_weight": (5.0, 60.0, "linear"),
     "serious_weight": (1.5, 10.0, "linear"),
@@ -281,6 +282,7 @@ SAMPLED_SPACE = {
     "depth": (4, 8, "int"),
     "step": (0.005, 0.15, "log"),
     "iterations": [500, 1000, 2000, 3000],
+    "l2": (1e-3, 10.0, "log"),
     "min_leaf": (5, 100, "int"),
     "subsample": (0.5, 1.0, "linear"),
     "feature_share": (0.5, 1.0, "linear"),

@@ -8,8 +8,8 @@ import oracle_check
 from tarmac import catalog
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
-# Covered by their parts; run by oracle_check.py and the benchmark.
-SLOW = {"train_and_evaluate", "hyperparameter_search", "compare_selectors"}
+# Covered by their parts (the search by top_trials); run by oracle_check.py and the benchmark.
+SLOW = {"train_and_evaluate", "compare_selectors", "hyperparameter_search"}
 
 
 @pytest.fixture(scope="module")
