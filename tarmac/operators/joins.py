@@ -15,12 +15,13 @@ from tarmac.operators import skew
 from tarmac.schema import col
 from tarmac.session import cut_lineage
 
-# Stations up to this number are sent to every task; larger tables take the grid join.
+# Stations up to this number are sent to every task; larger tables are searched by a tree.
 MAX_BROADCAST_STATIONS = 2_000
 # Distances are compared to the millimetre, so engines agree on ties.
 _TIE_DECIMALS = 6
-_STATIONS_PER_CELL = 32
-_FINEST_CELL = 1e-3
+#: Leaves of the station tree at most, stations it is drawn from, stations of a leaf (about) and places that search a leaf together.
+MAX_LEAVES, _SAMPLED = 4_096, 65_536
+_STATIONS_PER_LEAF, _VISITS_PER_SLICE = 32, 50_000
 
 
 def with_suffixes(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes=("_x", "_y")) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +65,7 @@ def nearest_station_join(
     head = sites.limit(max_broadcast + 1).collect()  # bounded by the limit
     if len(head) <= max_broadcast:
         return _search_in_tasks(places, head, lat, lon, dict(sites.dtypes)["station_id"])
-    return _search_by_grid(places, sites, lat, lon)
+    return _search_by_tree(places, sites, lat, lon)
 
 
 def _search_in_tasks(places: DataFrame, sites: list, lat: str, lon: str, id_type: str) -> DataFrame:
@@ -105,70 +106,91 @@ def _search_in_tasks(places: DataFrame, sites: list, lat: str, lon: str, id_type
     return typed.mapInPandas(search, schema)
 
 
-def _search_by_grid(places: DataFrame, sites: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Equi-join on grid cells, coarser each round, until every place is settled.
-
-    A place is settled once its best candidate is no farther than the edge of the 3×3 block
-    of cells it was searched in, because no station outside the block can be nearer. The
-    first cell size keeps the fullest cell small, so crowded stations are searched finely;
-    each round makes it four times larger for the places left.
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Points of the unit sphere; straight distances between them grow with those along the surface."""
+    lat, lon = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+
+
+def median_splits(points: np.ndarray, leaves: int) -> list[tuple[int, float]]:
+    """(axis, cut) per inner node of a balanced tree, level by level: the median along the widest axis of the node's points."""
+    out, level = [], [points]
+    while len(level) < leaves:
+        after = []
+        for part in level:
+            axis = int(np.argmax(np.ptp(part, axis=0))) if len(part) else 0
+            cut = float(np.median(part[:, axis])) if len(part) else 0.0
+            out.append((axis, cut))
+            above = part[:, axis] > cut
+            after += [part[~above], part[above]]
+        level = after
+    return out
+
+
+def leaf_of(points: np.ndarray, splits: Sequence[tuple[int, float]]) -> np.ndarray:
+    axes, cuts = np.array([a for a, _ in splits], dtype=np.int64), np.array([c for _, c in splits])
+    node = np.zeros(len(points), dtype=np.int64)
+    for _ in range((len(splits) + 1).bit_length() - 1):
+        node = 2 * node + 1 + (points[np.arange(len(points)), axes[node]] > cuts[node])
+    return node - len(splits)
+
+
+def leaves_to_visit(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(point, box) for every box that may hold the point's nearest: no farther than some box is at its far corner."""
+    nearest = np.zeros((len(points), len(low)))
+    farthest = np.zeros_like(nearest)
+    for axis in range(points.shape[1]):
+        x = points[:, axis, None]
+        under, over = low[None, :, axis] - x, x - high[None, :, axis]
+        nearest += np.maximum(np.maximum(under, over), 0.0) ** 2
+        farthest += np.maximum(np.abs(under), np.abs(over)) ** 2
+    return np.nonzero(np.sqrt(nearest) <= np.sqrt(farthest.min(axis=1, keepdims=True)) + 1e-8)
+
+
+def _search_by_tree(places: DataFrame, sites: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Search the leaves of a tree of median splits that may hold a nearer station.
+
+    The splits come from a bounded sample of stations; all stations go to their leaf, and the boxes around
+    a leaf's stations, at most ``MAX_LEAVES``, bound how near and how far these are. A
+    place visits the few leaves within its bound, so no round gathers what is left. Leaves that many
+    places visit are searched in slices.
     """
-    box = sites.agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.max("slat") - F.min("slat")).alias("h"),
-        (F.max("slon") - F.min("slon")).alias("w"),
-    ).first()
-    size = max(math.sqrt(max(box["h"], 1e-3) * max(box["w"], 1e-3) / max(box["n"], 1)), 1e-4)
-    while size > _FINEST_CELL:
-        cell = [F.floor(F.col(c) / size).alias(c) for c in ("slat", "slon")]
-        fullest = sites.select(*cell).groupBy("slat", "slon").count().agg(F.max("count")).first()[0] or 0
-        if fullest <= _STATIONS_PER_CELL:
-            break
-        size /= 4
-    todo = cut_lineage(places.select(col(lat).cast("double").alias("plat"), col(lon).cast("double").alias("plon")))
-    settled: DataFrame | None = None
-    while True:
-        whole_world = size >= 180.0
-        found = _grid_round(todo, sites, size, whole_world)
-        found = cut_lineage(todo.join(found, ["plat", "plon"], "left"))
-        done = found.where(F.col("best").isNotNull() & (F.lit(whole_world) | (F.col("best.km") <= F.col("reach_km"))))
-        picked = done.select("plat", "plon", F.col("best.station_id").alias("station_id"), F.col("best.km").alias("distance_km"))
-        settled = picked if settled is None else settled.unionByName(picked)
-        if whole_world:
-            break
-        rest = found.where(F.col("best").isNull() | (F.col("best.km") > F.col("reach_km"))).select("plat", "plon")
-        if rest.isEmpty():
-            break
-        todo, size = rest, size * 4
-    return settled.withColumnsRenamed({"plat": lat, "plon": lon})
-
-
-def _grid_round(todo: DataFrame, sites: DataFrame, size: float, whole_world: bool) -> DataFrame:
-    step = F.lit(360.0 if whole_world else size)
-
-    def cell(value):
-        return F.floor((value + 360.0) / step).cast("long")
-
-    near = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    asked = (
-        todo.withColumn("dy", F.explode(near))
-        .withColumn("dx", F.explode(near))
-        .select("plat", "plon", (cell(F.col("plat")) + F.col("dy")).alias("cy"), (cell(F.col("plon")) + F.col("dx")).alias("cx"))
-    )
-    placed = sites.withColumns({"cy": cell(F.col("slat")), "cx": cell(F.col("slon"))})
+    id_type = dict(sites.dtypes)["station_id"]
+    n = sites.count()
+    leaves = 1 << max(0, math.ceil(math.log2(max(1, min(MAX_LEAVES, n / _STATIONS_PER_LEAF)))))
+    drawn = sites.where(F.pmod(F.xxhash64("slat", "slon"), F.lit(1 << 30)) < (1 << 30) * min(1.0, _SAMPLED / max(n, 1))).select("slat", "slon").toPandas()
+    splits = median_splits(_unit(drawn["slat"].to_numpy(float), drawn["slon"].to_numpy(float)), leaves)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = _unit(b["slat"].to_numpy(float), b["slon"].to_numpy(float))
+            yield b.assign(leaf=leaf_of(x, splits), x0=x[:, 0], x1=x[:, 1], x2=x[:, 2])
+
+    typed = sites.select("station_id", F.col("slat").cast("double").alias("slat"), F.col("slon").cast("double").alias("slon"))
+    placed = cut_lineage(typed.mapInPandas(place, f"station_id {id_type}, slat double, slon double, leaf long, x0 double, x1 double, x2 double"))
+    edges = [f(f"x{i}").alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(3)]
+    boxes = placed.groupBy("leaf").agg(*edges).toPandas().sort_values("leaf")  # MAX_LEAVES rows at most
+    numbers = boxes["leaf"].to_numpy(np.int64)
+    low, high = (boxes[[f"{name}{i}" for i in range(3)]].to_numpy(float) for name in ("low", "high"))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1_000):
+                part = batch.iloc[start : start + 1_000]
+                if len(part) and len(numbers):
+                    i, j = leaves_to_visit(_unit(part["plat"].to_numpy(), part["plon"].to_numpy()), low, high)
+                    yield pd.DataFrame({"plat": part["plat"].to_numpy()[i], "plon": part["plon"].to_numpy()[i], "leaf": numbers[j]})
+
+    asked = places.select(col(lat).cast("double").alias("plat"), col(lon).cast("double").alias("plon"))
+    visits = cut_lineage(asked.mapInPandas(visit, "plat double, plon double, leaf long"))
+    load = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / _VISITS_PER_SLICE).cast("int").alias("slices"))  # as many rows as leaves
+    visits = visits.join(F.broadcast(load), "leaf").withColumn("slice", F.pmod(F.xxhash64("plat", "plon"), F.col("slices")).cast("int"))
+    hosts = placed.select("leaf", "station_id", "slat", "slon").join(F.broadcast(load), "leaf")
+    hosts = hosts.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     km = F.round(fx.haversine_km(F.col("plat"), F.col("plon"), F.col("slat"), F.col("slon")), _TIE_DECIMALS)
-    # A point lies at least one cell from the edge of its block. North-south that is the cell
-    # height; east-west it is the great-circle distance to the block's edge meridian, taken at
-    # the block's highest latitude. Cells do not wrap, so the date line limits the reach too.
-    high = F.radians(F.least(F.lit(90.0), F.abs(F.col("plat")) + 2 * step))
-    sideways = F.radians(F.least(step, F.lit(180.0) - F.abs(F.col("plon")), F.lit(90.0)))
-    reach = F.least(F.radians(step), F.asin(F.sin(F.greatest(F.lit(0.0), sideways)) * F.cos(high)))
-    return (
-        asked.join(placed, ["cy", "cx"])
-        .groupBy("plat", "plon")
-        .agg(F.min(F.struct(km.alias("km"), F.col("station_id").alias("station_id"))).alias("best"))
-        .withColumn("reach_km", reach * F.lit(fx.EARTH_RADIUS_KM) - 1e-6)
-    )
+    found = visits.drop("slices").join(hosts, ["leaf", "slice"]).groupBy("plat", "plon")
+    found = found.agg(F.min(F.struct(km.alias("km"), F.col("station_id").alias("station_id"))).alias("best"))
+    return found.select(F.col("plat").alias(lat), F.col("plon").alias(lon), F.col("best.station_id").alias("station_id"), F.col("best.km").alias("distance_km"))
 
 
 def weather_on_day(weather: DataFrame, station: str = "station_id", day: str = "time") -> DataFrame:

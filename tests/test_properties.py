@@ -64,6 +64,21 @@ def test_tree_levels_and_visits_grow_with_the_rows(spark):
         assert many < few * 4**1.5
 
 
+def test_station_tree_visits_few_leaves():
+    rng = np.random.default_rng(4)
+    sites = joins._unit(rng.uniform(-90, 90, 100_000), rng.uniform(-180, 180, 100_000))
+    splits = joins.median_splits(sites, 2048)
+    leaf = joins.leaf_of(sites, splits)
+    sizes = np.bincount(leaf, minlength=2048)
+    assert len(splits) == 2047 and sizes.min() >= 40 and sizes.max() <= 60
+    low, high = (np.stack([f.reduceat(sites[np.argsort(leaf, kind="stable")], np.cumsum(sizes) - sizes, axis=0)])[0] for f in (np.minimum, np.maximum))
+    places = joins._unit(rng.uniform(-90, 90, 500), rng.uniform(-180, 180, 500))
+    i, j = joins.leaves_to_visit(places, low, high)
+    nearest = np.array([((sites - p) ** 2).sum(axis=1).argmin() for p in places])
+    visited = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert all((n, leaf[s]) in visited for n, s in enumerate(nearest)) and len(i) / 500 < 30
+
+
 def test_smote_reaches_targets_on_segments(spark, points):
     df, frame = points
     out = balance.smote(df, "y", "id", ["a", "b", "c"], k=3).toPandas()
