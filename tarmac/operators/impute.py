@@ -13,8 +13,10 @@ from tarmac.functions import scalar as fx
 from tarmac.operators import clean, order_stats, profile
 from tarmac.operators.skew import held, join_lookup, join_small_or_large
 from tarmac.schema import col, numeric_columns, string_columns
+from tarmac.session import cut_lineage
 
-LABEL_RANGES = 4_095
+#: Bytes of levels that are broadcast at most.
+HELD_BYTES = 8 << 20
 
 
 def _fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -171,61 +173,88 @@ def outlier_remove(df: DataFrame, columns: Sequence[str], multiplier: float = 1.
     return out
 
 
-def levels_of(df: DataFrame, column: str, limit: int) -> list[str] | None:
-    """Sorted non-null levels, or None when there are more than ``limit``."""
-    rows = df.select(col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().limit(limit + 1).collect()
-    return sorted(r["v"] for r in rows) if len(rows) <= limit else None
-
-
 def onehot_encode(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
     """0/1 columns ``column_level`` for every level; null gives 0 in all."""
     text = col(column).cast("string")
     return df.withColumns({f"{column}_{v}": fx.flag(text == v) for v in levels}).drop(column)
 
 
-def fit_labels(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
-    """((level, code), is_small): codes in text order from 0; null counts as the level 'None'.
+def level_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, level) of all different levels of all columns as text, null included, in one pass, written once."""
+    entries = F.array(*[F.struct(F.lit(i).alias("column"), col(c).cast("string").alias("level")) for i, c in enumerate(columns)])
+    return cut_lineage(df.select(F.explode(entries).alias("e")).select("e.*").distinct())
 
-    Codes are positions among the distinct levels; with very many levels they are counted by
-    ranges between sampled levels, so no task sorts them all.
-    """
-    text = F.coalesce(col(column).cast("string"), F.lit("None"))
-    levels, is_small = held(df.select(text.alias("level")).distinct())
-    if is_small:
-        ordered = sorted(r["level"] for r in levels.collect())
-        return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(ordered)], "level string, code long"), True
-    sampled = levels.orderBy(F.xxhash64("level"), "level").limit(LABEL_RANGES).collect()
-    placed = levels.withColumn("_range", _range_of(F.col("level"), sorted(r["level"] for r in sampled)))
+
+def codes_by_ranges(levels: DataFrame) -> DataFrame:
+    """(level, code) for the rows of (level): codes in text order from 0, counted by ranges, so no task sorts all levels."""
+    width = max(8, int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut_lineage(levels.repartitionByRange(width, "level").withColumn("_range", F.spark_partition_id()))
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select(
         "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
-    )
+    )  # a row per range
     position = F.row_number().over(Window.partitionBy("_range").orderBy("level")) - 1
     coded = placed.join(F.broadcast(offsets), "_range").select("level", (F.col("offset") + position).cast("long").alias("code"))
-    return coded, False
+    return coded
 
 
-def label_encode(df: DataFrame, column: str, codes: tuple[DataFrame, bool] | None = None) -> DataFrame:
-    levels, is_small = fit_labels(df, column) if codes is None else codes
-    levels = levels.withColumnsRenamed({"level": "_level", "code": "_code"})
+def _with_codes(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
     keyed = df.withColumn("_level", F.coalesce(col(column).cast("string"), F.lit("None")))
-    joined = keyed.join(F.broadcast(levels), "_level", "left") if is_small else join_lookup(keyed, levels, ["_level"])
+    joined = join_lookup(keyed, levels.withColumnsRenamed({"level": "_level", "code": "_code"}), ["_level"])
     return joined.select(*[F.col("_code").alias(c) if c == column else col(c) for c in df.columns])
 
 
 def encode_categorical(
-    df: DataFrame, columns: Sequence[str] | None = None, method: str = "onehot", max_categories: int = 10
+    df: DataFrame, columns: Sequence[str] | None = None, method: str = "onehot", max_categories: int = 10, held_bytes: int = HELD_BYTES
 ) -> DataFrame:
-    """One-hot up to ``max_categories`` levels, label codes beyond or when asked for."""
+    """One-hot up to ``max_categories`` levels, label codes (in text order from 0, null as 'None') beyond or when asked for.
+
+    One dictionary of all columns comes from one pass. The levels of the smaller columns, up to ``held_bytes`` in all,
+    make one broadcast that every such column looks its codes up in; a larger column is coded by
+    ranges of its levels and joined by itself.
+    """
+    names = [c for c in (columns if columns is not None else string_columns(df)) if c in df.columns]
+    if not names:
+        return df
+    table = level_table(df, names)
+    size = F.sum(F.coalesce(F.octet_length("level"), F.lit(0)) + 16)
+    told = table.groupBy("column").agg(F.count("level").alias("levels"), size.alias("bytes")).collect()  # a row per column
+    stats = dict.fromkeys(range(len(names)), (0, 0)) | {r["column"]: (r["bytes"], r["levels"]) for r in told}
+    small, room = [], held_bytes
+    for i in sorted(stats, key=lambda i: (stats[i][0], i)):
+        if stats[i][0] > room:
+            break
+        room -= stats[i][0]
+        small.append(i)
+    levels: dict[int, list[str | None]] = {i: [] for i in small}
+    for r in table.where(F.col("column").isin(small)).collect():  # held_bytes at most
+        levels[r["column"]].append(r["level"])
+    onehot = {i for i in small if method == "onehot" and stats[i][1] <= max_categories}
+    codes = []
+    for i in set(small) - onehot:
+        codes += [(f"{i}:{v}", n) for n, v in enumerate(sorted({"None" if v is None else v for v in levels[i]}))]
     out = df
-    for c in columns if columns is not None else string_columns(df):
-        if c not in out.columns:
-            continue
-        levels = levels_of(out, c, max_categories) if method == "onehot" else None
-        out = label_encode(out, c) if levels is None else onehot_encode(out, c, levels)
+    if len(onehot) < len(small):
+        # One key for all columns, so that their joins share one broadcast.
+        shared = df.sparkSession.createDataFrame(codes, "_key string, _code long")
+        for i, c in enumerate(names):
+            if i in levels and i not in onehot:
+                key = F.concat(F.lit(f"{i}:"), F.coalesce(col(c).cast("string"), F.lit("None")))
+                joined = out.withColumn("_at", key).join(F.broadcast(shared), F.col("_at") == F.col("_key"), "left")
+                out = joined.select(*[F.col("_code").alias(x) if x == c else col(x) for x in out.columns])
+    for i, c in enumerate(names):
+        if i in onehot:
+            out = onehot_encode(out, c, sorted(v for v in levels[i] if v is not None))
+        elif i not in levels:
+            own = table.where(F.col("column") == i).select(F.coalesce("level", F.lit("None")).alias("level")).distinct()
+            out = _with_codes(out, c, codes_by_ranges(own))
     return out
 
 
+def label_encode(df: DataFrame, column: str, held_bytes: int = HELD_BYTES) -> DataFrame:
+    return encode_categorical(df, [column], "label", held_bytes=held_bytes)
+
+
 @dataclass
 class Scaler:
     """(x − mean) / population deviation; a constant column keeps divisor 1; nulls become 0."""

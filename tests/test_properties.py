@@ -244,12 +244,31 @@ def test_fill_forward_back_over_many_ranges(spark):
     np.testing.assert_array_equal(out, want)
 
 
-def test_many_label_levels_take_the_distributed_path(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"v{i * 37 % 100:03d}") for i in range(300)], "i int, x string")
+def test_many_label_levels_take_the_distributed_path(spark):
+    df = spark.createDataFrame([(i, f"v{i * 37 % 100:03d}" if i % 50 else None) for i in range(300)], "i int, x string")
     small = impute.label_encode(df, "x")
-    monkeypatch.setattr(impute, "held", lambda d: (d, False))
-    large = impute.label_encode(df, "x")
-    assert small.exceptAll(large).count() == 0
+    large = impute.label_encode(df, "x", held_bytes=0)
+    assert small.exceptAll(large).count() == 0 and large.count() == 300
+    assert large.agg(F.max("x")).first()[0] == df.select(F.coalesce("x", F.lit("None"))).distinct().count() - 1
+
+
+def test_thirty_columns_are_encoded_by_one_dictionary(spark):
+    names = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame([(i, *[None if (i + j) % 13 == 0 else f"v{i * j % 7}" for j in range(30)]) for i in range(60)], "id int, " + ", ".join(f"{c} string" for c in names))
+    tracker, group = spark.sparkContext.statusTracker(), "encode"
+    spark.sparkContext.setJobGroup(group, group)
+    out = impute.encode_categorical(df, names, method="label")
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs <= 6 and out.columns == df.columns  # the dictionary, its sizes and its rows; adaptive stages are jobs of their own
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    told, given = out.toPandas().sort_values("id"), df.toPandas().sort_values("id")
+    for c in names:
+        text = given[c].fillna("None")
+        assert told[c].tolist() == text.map({v: n for n, v in enumerate(sorted(set(text)))}).tolist()
+    nothing = impute.encode_categorical(df.limit(0), names[:2], method="label")
+    assert nothing.count() == 0 and dict(nothing.dtypes)["c0"] == "bigint"
 
 
 def test_isolation_rate_and_skips(spark, points):
