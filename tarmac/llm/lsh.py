@@ -113,6 +113,12 @@ def _compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat(found) if found else pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
 
 
+def task_groups(sizes: DataFrame) -> int:
+    """Groups of about ``ENTRIES`` rows for buckets of ``n`` vectors in ``blocks``: a vector goes once to every block of its bucket."""
+    rows = sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    return max(8, -(-rows // ENTRIES))
+
+
 def near_vectors(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -149,13 +155,14 @@ def near_vectors(
     bucket = ["label", "dim", "place", "bucket"]
     entries = reps.select("rep", "label", "dim", F.posexplode("buckets").alias("place", "bucket"))
     sizes = entries.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select(*bucket, F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sizes = cut_lineage(sizes.select(*bucket, "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    groups = task_groups(sizes)
+    sizes = sizes.drop("n")
     full = reps.select("rep", "copies", "label", "dim", "vector", "buckets", F.posexplode("buckets").alias("place", "bucket"))
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
     met = full.join(sizes, bucket).withColumn("block", own)
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
-    groups = max(8, reps.count() * TABLES // ENTRIES)
     met = met.withColumn("task", F.pmod(F.xxhash64(*bucket, "a", "b"), F.lit(groups)).cast("int"))
     met = met.select("rep", "copies", "vector", "buckets", *bucket, "block", "a", "b", "task").repartition(groups, "task")
     found = met.groupBy("task").applyInPandas(lambda part: _compare(part, threshold), "rep long, links long, root long")

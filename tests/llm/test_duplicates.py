@@ -149,3 +149,23 @@ def test_next_rows_over_many_ranges(spark):
     one = spark.createDataFrame([(1, "a")], "id long, text string")
     assert [tuple(r) for r in with_next(one, lambda run: [(run[0][0], run[1][0])], "id long, other long").collect()] == [(1, 1)]
     assert with_next(df.limit(0), lambda run: [], "id long").count() == 0
+
+
+def test_a_hot_bucket_is_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "BLOCK", 64)
+    monkeypatch.setattr(lsh, "ENTRIES", 1024)
+    assert lsh.task_groups(spark.createDataFrame([(20_000, 313), (10, 1)], "n long, blocks int")) == -(-(20_000 * 313 + 10) // 1024)
+    assert lsh.task_groups(spark.createDataFrame([], "n long, blocks int")) == 8
+    rng = np.random.default_rng(1)
+    near = rng.normal(size=16) + rng.normal(size=(2_000, 16)) * 0.01
+    held, compare = spark.sparkContext.accumulator(0), lsh._compare
+
+    def counted(rows, threshold):
+        if len(rows) > 4 * lsh.ENTRIES:
+            held.add(1)
+        return compare(rows, threshold)
+
+    monkeypatch.setattr(lsh, "_compare", counted)
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(near)], "vec_id long, label int, embedding array<double>")
+    rows = lsh.near_vectors(df).collect()
+    assert held.value == 0 and {r.component for r in rows} == {0} and min(r.n_links for r in rows) == 1999
