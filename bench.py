@@ -44,6 +44,8 @@ HEADLINE = [
     "select_model_based",
     "select_rfecv",
     "logistic_regression",
+    "boosted_trees",
+    "hyperparameter_search",
 ]
 
 
