@@ -147,7 +147,22 @@ def remove_tomek_links(d):
     return balance.remove_tomek_links(embedding_features(d), "label", "vec_id", _FEATURES)
 
 
-@query("smote_tomek", "label:i is_synthetic:i n:i")
+_OWN = "[" + ", ".join(f"a.{f}" for f in _FEATURES) + "]"
+_OTHER = "[" + ", ".join(f"b.{f}" for f in _FEATURES) + "]"
+_GROWN = _smote_sql("(SELECT max(k) FROM (SELECT count(*) AS k FROM e GROUP BY label))")
+
+
+@query(
+    "smote_tomek",
+    "label:i is_synthetic:i n:i",
+    f"""WITH grown AS MATERIALIZED ({_GROWN}),
+      nearest AS (SELECT a.vec_id AS a, a.label AS la, b.vec_id AS b, b.label AS lb,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance({_OWN}, {_OTHER}), 12), b.vec_id) AS rank
+        FROM grown AS a JOIN grown AS b ON a.vec_id <> b.vec_id),
+      first AS (SELECT * FROM nearest WHERE rank = 1),
+      links AS (SELECT x.a FROM first AS x JOIN first AS y ON x.a = y.b AND x.b = y.a WHERE x.la <> x.lb)
+      SELECT label, is_synthetic, count(*) AS n FROM grown WHERE vec_id NOT IN (SELECT a FROM links) GROUP BY 1, 2""",
+)
 def smote_tomek(d):
     out = balance.smote_tomek(embedding_features(d), "label", "vec_id", _FEATURES)
     return out.groupBy(col("label"), "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
