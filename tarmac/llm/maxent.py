@@ -6,8 +6,8 @@ back (skips). Weights are trained by gradient steps in tasks whose updates are a
 
 Documents are read once into packs: token streams over a small vocabulary of their own, in packed columns.
 Whatever concerns a word travels once per pack rather than once per document, so frequent words
-are not hot keys. Counts of all words come back to the packs by a join and scores are sums over
-arrays.
+are not hot keys. Counts of all words come back to the packs by a join, one pack is scored at a time, and scores are
+sums over arrays.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ class Pack:
     def of(cls, row) -> Pack:
         low, high = np.frombuffer(row.low, "<u2"), np.frombuffer(row.high, "<u2")
         return cls(
-            low.astype(np.int64) | high.astype(np.int64) << 16,
+            low.astype(np.int32) | high.astype(np.int32) << 16,
             np.frombuffer(row.vocab, "<u8"),
             np.frombuffer(row.tails, "<u2").astype(np.int64),
             np.asarray(row.lengths, dtype=np.int64),
@@ -348,7 +348,7 @@ def train(packs: DataFrame, counts: DataFrame) -> Model:
 
 
 def counts_by_pack(packs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(pack, places, seen): for each pack, the local words that training holds and how often."""
+    """(pack, place, n): for each pack, the local words that training holds and how often."""
 
     def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -357,44 +357,42 @@ def counts_by_pack(packs: DataFrame, counts: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"pack": pack, "place": np.arange(len(hashes), dtype=np.int32), "hash": hashes})
 
     rows = packs.select("pack", "vocab").mapInPandas(unfold, "pack long, place int, hash long")
-    known = rows.join(counts.select("hash", "n"), "hash").select("pack", "place", "n")
-    return known.groupBy("pack").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("seen"))
+    return rows.join(counts.select("hash", "n"), "hash").select("pack", "place", "n")
 
 
 _SCORES = "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples():
-            pack = Pack.of(row)
-            seen = np.zeros(len(pack.vocab), dtype=np.float64)
-            if row.places is not None:
-                seen[np.asarray(row.places, dtype=np.int64)] = np.asarray(row.seen, dtype=np.float64)
-            bucket = pack.buckets(model.head, model.rank)
-            word_class = model.class_of[bucket]
-            log_seen = np.log10(seen + 0.5)
-            inner = np.where(seen > 0, log_seen, model.class_log_unknown[word_class]) - model.class_log_total[word_class]
-            buckets, starts = bucket[pack.stream], pack.starts()
-            score = inner[pack.stream]
-            for at in range(0, len(buckets), BATCH * 4):
-                low = max(0, at - 3)
-                part = buckets[low : at + BATCH * 4]
-                inside = starts[(starts >= low) & (starts < low + len(part))] - low
-                slots = context_slots(part, inside)[at - low :]
-                chosen = model.class_of[part[at - low :]]
-                logs = log_softmax(class_logits(model.weights, slots))
-                score[at : at + len(chosen)] += logs[np.arange(len(chosen)), chosen] / np.log(10)
-            yield pd.DataFrame(
-                {
-                    "id": row.ids,
-                    "held_out": pack.held,
-                    "n_tokens": pack.lengths,
-                    "n_known": np.add.reduceat((seen > 0)[pack.stream].astype(np.int64), starts),
-                    "base_score": np.add.reduceat(log_seen[pack.stream] - model.base_log_total, starts),
-                    "score": np.add.reduceat(score, starts),
-                }
-            )
+def _score(packs: pd.DataFrame, known: pd.DataFrame, model: Model) -> pd.DataFrame:
+    """Scores of the one pack in ``packs``; ``known`` holds its words that training has."""
+    row = next(packs.itertuples())
+    pack = Pack.of(row)
+    seen = np.zeros(len(pack.vocab), dtype=np.float64)
+    seen[known["place"].to_numpy()] = known["n"].to_numpy()
+    bucket = pack.buckets(model.head, model.rank)
+    word_class = model.class_of[bucket]
+    log_seen = np.log10(seen + 0.5)
+    inner = np.where(seen > 0, log_seen, model.class_log_unknown[word_class]) - model.class_log_total[word_class]
+    buckets, starts = bucket[pack.stream], pack.starts()
+    score = inner[pack.stream]
+    for at in range(0, len(buckets), BATCH * 4):
+        low = max(0, at - 3)
+        part = buckets[low : at + BATCH * 4]
+        inside = starts[(starts >= low) & (starts < low + len(part))] - low
+        slots = context_slots(part, inside)[at - low :]
+        chosen = model.class_of[part[at - low :]]
+        logs = log_softmax(class_logits(model.weights, slots))
+        score[at : at + len(chosen)] += logs[np.arange(len(chosen)), chosen] / np.log(10)
+    return pd.DataFrame(
+        {
+            "id": row.ids,
+            "held_out": pack.held,
+            "n_tokens": pack.lengths,
+            "n_known": np.add.reduceat((seen > 0)[pack.stream].astype(np.int64), starts),
+            "base_score": np.add.reduceat(log_seen[pack.stream] - model.base_log_total, starts),
+            "score": np.add.reduceat(score, starts),
+        }
+    )
 
 
 def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,6 +409,7 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
     counts = cut_lineage(word_counts(packs))
     model = train(packs, counts)
     found = packs.select("pack", "ids", "held", "lengths", "low", "high", "vocab", "tails")
-    found = found.join(counts_by_pack(packs, counts), "pack", "left").drop("pack")
-    scored = found.mapInPandas(lambda b: _score(b, model), _SCORES)
+    # Groups reach a task's worker one by one; batches of joined packs would be held together.
+    both = found.groupBy("pack").cogroup(counts_by_pack(packs, counts).groupBy("pack"))
+    scored = both.applyInPandas(lambda own, known: _score(own, known, model), _SCORES)
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))

@@ -368,3 +368,14 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         assert corpus_pipeline.run(spark, folder).count() >= 0
 
 
+
+
+def test_lm_scores_one_pack_at_a_time(spark, capsys):
+    """Joined packs reached a worker in batches of up to 10,000 rows, which held a task's packs at once."""
+    df = spark.createDataFrame([(i, f"a b c{i}") for i in range(20)], "doc_id long, text string").repartition(3)
+    scored = maxent.score_documents(df, F.col("doc_id") % 5 == 1)
+    scored.explain()
+    plan = capsys.readouterr().out
+    assert "CoGroup" in plan and "collect_list" not in plan
+    got = {r.id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in scored.collect()}
+    assert got == {str(i): (i % 5 == 1, 4, 3 if i % 5 == 1 else 4, 64) for i in range(20)}
