@@ -44,6 +44,25 @@ def test_passes_over_blocks_grow_the_same_trees(rows, monkeypatch):
     np.testing.assert_allclose(losses, again, atol=1e-9)
 
 
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_levels_of_a_pass_are_one_stage(spark, rows, monkeypatch, limit):
+    """Small partial histograms need no shuffle; large ones are added up by feature. The trees are the same."""
+    monkeypatch.setattr(boosting, "_COLLECT_BYTES", limit)
+    monkeypatch.setattr(boosting, "_TASK_ROWS", 100)
+    grouped = []
+    whole = type(rows).groupBy
+    ready = rows.select(models.label_index("y", presets.LABELS).alias("_y"), F.lit(1.5).alias("_w"), F.col("held").alias("_held"), "a", "b", "c")
+    settings = boosting.Settings(iterations=2, depth=4, subsample=0.7, patience=3)
+    near, losses = boosting.fit(ready, ["a", "b", "c"], 3, settings)
+    monkeypatch.setattr(type(rows), "groupBy", lambda self, *by: grouped.append(by) or whole(self, *by))
+    far, again = boosting.fit(ready, ["a", "b", "c"], 3, settings, local_rows=0)
+    assert grouped.count(("feature",)) == (8 if limit == 0 else 0)
+    assert [t[:2] for t in near.trees] == [t[:2] for t in far.trees] and len(near.trees) == 2
+    for one, two in zip(near.trees, far.trees, strict=True):
+        np.testing.assert_allclose(one[2], two[2], atol=1e-9)
+    np.testing.assert_allclose(losses, again, atol=1e-9)
+
+
 def test_best_cut_by_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):
