@@ -47,6 +47,20 @@ def test_knn_matches_brute_force_with_copies(spark, points, chunk_rows):
     assert (out["id"] != out["neighbour"]).all()
 
 
+@pytest.mark.parametrize("trips", ["blocks", "one block", "leaves"])
+def test_knn_by_blocks_and_by_leaves(spark, points, monkeypatch, trips):
+    """Rows that would visit most leaves travel once per block; either way neighbours are exact."""
+    df, frame = points
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", {"blocks": 150, "one block": 32_768, "leaves": 5}[trips])
+    used, by_blocks = [], neighbours._by_blocks
+    monkeypatch.setattr(neighbours, "_by_blocks", lambda *a: used.append(1) or by_blocks(*a))
+    vectors = df.select("id", "y", F.array("a", "b", "c").alias("v"))
+    out = neighbours.knn(vectors, "id", "v", 4, within="y", chunk_rows=12, visitors=50).toPandas().sort_values(["id", "rank"])
+    assert len(used) == (trips != "leaves") and len(out) == 4 * len(frame)
+    np.testing.assert_allclose(out["distance"].to_numpy().reshape(-1, 4), brute_knn(frame, 4), atol=1e-9)
+    assert (out["id"] != out["neighbour"]).all() and not out.duplicated(["id", "neighbour"]).any()
+
+
 def test_tree_levels_and_visits_grow_with_the_rows(spark):
     visits, levels = [], []
     for n in (300, 1_200, 4_800):
