@@ -61,6 +61,39 @@ def test_knn_by_blocks_and_by_leaves(spark, points, monkeypatch, trips):
     assert (out["id"] != out["neighbour"]).all() and not out.duplicated(["id", "neighbour"]).any()
 
 
+def test_neighbours_are_searched_once(spark, points, monkeypatch):
+    """Joins that look for hot keys read their input twice; the search before them must not run twice."""
+    df, frame = points
+    searches, knn = [], balance.knn
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(*args, **options):
+        def seen(batches):
+            for batch in batches:
+                ran.add(len(batch))
+                yield batch
+
+        found = knn(*args, **options)
+        searches.append(1)
+        return found.mapInPandas(seen, found.schema)
+
+    monkeypatch.setattr(balance, "knn", counted)
+    balance.tomek_links(df, "y", "id", ["a", "b", "c"]).collect()
+    assert len(searches) == 1 and ran.value == len(frame)
+
+
+def test_knn_by_blocks_counts_repeated_keys_as_a_join_does(spark):
+    """Rows of one key were joined to their vectors by key, so each of them came back several times."""
+    x = np.random.default_rng(8).normal(size=(120, 2))
+    ids = np.concatenate([np.arange(110), np.arange(10)])
+    frame = pd.DataFrame({"id": ids, "v": list(x[ids])})
+    out = neighbours.knn(spark.createDataFrame(frame), "id", "v", 3, chunk_rows=10).toPandas().sort_values(["id", "rank"])
+    d = np.round(np.sqrt(((x[ids][:, None] - x[ids][None]) ** 2).sum(axis=2)), 12)
+    d[ids[:, None] == ids[None, :]] = np.inf
+    wanted = [np.sort(np.concatenate(d[ids == i]))[:3] for i in range(110)]
+    np.testing.assert_allclose(out["distance"].to_numpy().reshape(-1, 3), wanted, atol=1e-9)
+
+
 def test_tree_levels_and_visits_grow_with_the_rows(spark):
     visits, levels = [], []
     for n in (300, 1_200, 4_800):
