@@ -142,3 +142,18 @@ def test_saved_models_score_like_fitted_ones(spark, rows, tmp_path):
     assert fitted.load(spark, path, 1).version == 1 and fitted.versions(spark, path) == [1, 2]
     with pytest.raises(FileNotFoundError):
         fitted.load(spark, path, 7)
+
+
+def test_features_with_few_bins_share_a_pass_and_sum_the_same():
+    rng = np.random.default_rng(3)
+    widths, n, nodes, k = [7, 10, 3, 3, 33, 5], 2_000, 4, 3
+    columns = [rng.integers(0, w, n).astype(np.uint8) for w in widths]
+    node = rng.integers(0, nodes, n)
+    scores = rng.normal(size=(n, k))
+    block = boosting.Block(np.stack(columns, axis=1), rng.integers(0, k, n), rng.uniform(0.5, 2, n), np.zeros(n, bool), np.arange(n), scores)
+    stats = boosting.gradients(block, boosting.Settings(), 0)
+    assert len(boosting._bundles(widths, range(6), nodes)) < 6
+    got = boosting._sums(columns, widths, range(6), node, nodes, np.ascontiguousarray(stats.T))
+    for f, w in enumerate(widths):
+        whole = boosting.histogram(columns[f], node, nodes, stats)
+        np.testing.assert_allclose(got[f].reshape(nodes, w, -1), whole[:, :w], atol=1e-9)
