@@ -519,3 +519,10 @@ def test_count_below(spark):
 def test_split_is_a_map_over_the_scan(spark, sf_dir):
     text = plan(balance.train_val_test(domain.view(spark, sf_dir, "accidents"), "Accident_Severity", "Accident_Index"))
     assert "Exchange" not in text and "Sort" not in text
+
+
+def test_running_counts_place_values_and_not_rows(spark):
+    """No filter on the place of a value is pushed below the counts, where it would search the limits once per row."""
+    rows = spark.createDataFrame([(float(i % 7),) for i in range(50)], "x double").repartition(3)
+    plan = order_stats.running_counts(order_stats.distinct_counts(rows, ["x"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
