@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarmac import presets, schema
+from tarmac.catalog import registry
 from tarmac.functions import scalar as fx
 from tarmac.operators import balance, clean, correlation, features, impute, isolation, joins, models, neighbours, normality
 from tarmac.operators import order_stats, select, skew, tuning
@@ -526,3 +527,16 @@ def test_running_counts_place_values_and_not_rows(spark):
     rows = spark.createDataFrame([(float(i % 7),) for i in range(50)], "x double").repartition(3)
     plan = order_stats.running_counts(order_stats.distinct_counts(rows, ["x"]))._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
+
+def test_queries_bound_generated_methods(spark, sf_dir):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "65535")
+        registry.Data(spark, sf_dir)
+        assert spark.conf.get(key) == "8000"
+        spark.conf.set(key, "4000")
+        registry.Data(spark, sf_dir)
+        assert spark.conf.get(key) == "4000"
+    finally:
+        spark.conf.set(key, before)
