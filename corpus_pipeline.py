@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarmac.llm import bpe, gam, mixing, simhash
 from tarmac.llm.common import fold, table, text_or_empty
-from tarmac.session import cut_lineage
+from tarmac.session import cut_lineage, small_batches
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     model = gam.train(docs, labels)
     kept = docs.where(gam.score_column(text_or_empty("text"), model) >= gam.THRESHOLD)
@@ -23,6 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Groups are those of op3: fingerprints of four-word shingles, linked at four differing bits or fewer.
     """
+    small_batches(spark)
     return simhash.keep_one(docs, radius=4, words_per_shingle=4)
 
 

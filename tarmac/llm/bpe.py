@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import Memo, scratch_name, text_or_empty
+from tarmac.session import small_batches
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 8
@@ -237,6 +238,7 @@ def encode_and_decode(
     out_col: str = "decoded",
 ) -> DataFrame:
     """``encode_texts`` and ``decode_ids`` in one pass: a task keeps one worker and sends no ids back and forth."""
+    small_batches(df.sparkSession)
     both = scratch_name(df, "_both")
     done = df.withColumn(both, round_trip_column(text_or_empty(text_col), path, pattern))
     return done.withColumns({ids_col: F.col(both)["ids"], out_col: F.col(both)["decoded"]}).drop(both)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import named, text_or_empty
-from tarmac.session import cut_lineage
+from tarmac.session import cut_lineage, small_batches
 
 #: Tokens of a pack, about (one document at least).
 PACK_TOKENS = 2_000_000
@@ -35,6 +35,8 @@ START = BUCKETS  # stands before a document's first token
 CLASSES, ANCHORS = 32, 64
 PAIRS = 1 << 15  # slots for the hashed pair of the two tokens before
 ROUNDS, BATCH, RATE = 2, 8192, 0.3
+#: Tokens whose context is held at once.
+SLICE = BATCH * 16
 _TABLES = (1, BUCKETS + 1, BUCKETS + 1, BUCKETS + 1, PAIRS)
 _FIRST = np.concatenate([[0], np.cumsum(_TABLES)])
 SLOTS = int(_FIRST[-1])
@@ -70,12 +72,16 @@ class _Builder:
 
     def row(self) -> pd.DataFrame:
         lengths = [len(s) for s in self.streams]
+        n = len(self.index)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in self.index), dtype=np.uint64, count=n)
+        tails = np.fromiter((xxhash.xxh32_intdigest(w[-3:], 0) for w in self.index), dtype=np.uint32, count=n) % np.uint32(TAILS)
+        self.index.clear()  # a pack is built once: its words go before its arrays double
         stream = np.concatenate(self.streams)
-        words = list(self.index)
-        hashes = np.array([xxhash.xxh64_intdigest(w, 0) for w in words], dtype=np.uint64)
-        tails = np.array([xxhash.xxh32_intdigest(w[-3:], 0) for w in words], dtype=np.uint32) % np.uint32(TAILS)
+        self.streams.clear()
         trained = stream[np.repeat(~np.array(self.held), lengths)]
-        counts = np.bincount(trained, minlength=len(words)).astype("<u4")
+        counts = np.zeros(n, dtype="<u4")
+        for at in range(0, len(trained), SLICE):
+            counts += np.bincount(trained[at : at + SLICE], minlength=n).astype("<u4")
         return pd.DataFrame(
             {
                 "ids": [self.ids],
@@ -122,9 +128,11 @@ class Pack:
 
     @classmethod
     def of(cls, row) -> Pack:
-        low, high = np.frombuffer(row.low, "<u2"), np.frombuffer(row.high, "<u2")
+        stream = np.frombuffer(row.high, "<u2").astype(np.int32)
+        stream <<= 16
+        stream |= np.frombuffer(row.low, "<u2")
         return cls(
-            low.astype(np.int32) | high.astype(np.int32) << 16,
+            stream,
             np.frombuffer(row.vocab, "<u8"),
             np.frombuffer(row.tails, "<u2").astype(np.int64),
             np.asarray(row.lengths, dtype=np.int64),
@@ -141,7 +149,7 @@ class Pack:
             at = np.minimum(np.searchsorted(head, self.vocab), len(head) - 1)
             known = head[at] == self.vocab
             out[known] = rank[at[known]]
-        return out
+        return out.astype(np.int16)
 
 
 def _back(values: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
@@ -154,6 +162,17 @@ def _back(values: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
     return out
 
 
+def _part(values: np.ndarray, at: int, size: int) -> tuple[np.ndarray, int]:
+    """``size`` values from ``at`` on, behind the (up to three) before them, so slices do not change features; how many those are."""
+    low = max(0, at - 3)
+    return values[low : at + size], at - low
+
+
+def _within(starts: np.ndarray, low: int, size: int) -> np.ndarray:
+    """The document starts inside a slice, counted from the slice's own."""
+    return starts[np.searchsorted(starts, low) : np.searchsorted(starts, low + size)] - low
+
+
 def context_slots(buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Weight rows of every token's context features: (tokens, features)."""
     one, two, three = (_back(buckets, starts, k) for k in (1, 2, 3))
@@ -199,11 +218,14 @@ def _cooccurrence(packs: Iterator[pd.DataFrame], head: np.ndarray, rank: np.ndar
         for row in batch.itertuples():
             pack = Pack.of(row)
             buckets = pack.buckets(head, rank)[pack.stream]
-            trained = np.repeat(~pack.held, pack.lengths)
-            for steps in (1, 2):
-                before = _back(buckets, pack.starts(), steps)
-                use = trained & (before < ANCHORS)
-                total += np.bincount(before[use] * BUCKETS + buckets[use], minlength=len(total))
+            starts, trained = pack.starts(), np.repeat(~pack.held, pack.lengths)
+            for at in range(0, len(buckets), SLICE):
+                part, skip = _part(buckets, at, SLICE)
+                inside = _within(starts, at - skip, len(part))
+                for steps in (1, 2):
+                    before = _back(part, inside, steps)[skip:]
+                    use = trained[at : at + SLICE] & (before < ANCHORS)
+                    total += np.bincount(before[use] * BUCKETS + part[skip:][use], minlength=len(total))
     cells = np.flatnonzero(total)
     yield pd.DataFrame({"cell": cells, "n": total[cells]})
 
@@ -238,14 +260,11 @@ def _descend(packs: Iterator[pd.DataFrame], head, rank, class_of, weights) -> It
             pack = Pack.of(row)
             buckets = pack.buckets(head, rank)[pack.stream]
             starts, trained = pack.starts(), np.repeat(~pack.held, pack.lengths)
-            for at in range(0, len(buckets), BATCH * 16):
-                # Three tokens of context come along, so slices do not change features.
-                low = max(0, at - 3)
-                part = buckets[low : at + BATCH * 16]
-                inside = starts[(starts >= low) & (starts < low + len(part))] - low
-                slots = context_slots(part, inside)[at - low :]
-                target = class_of[part[at - low :]]
-                use = trained[at : at + BATCH * 16]
+            for at in range(0, len(buckets), SLICE):
+                part, skip = _part(buckets, at, SLICE)
+                slots = context_slots(part, _within(starts, at - skip, len(part)))[skip:]
+                target = class_of[part[skip:]]
+                use = trained[at : at + SLICE]
                 slots, target = slots[use], target[use]
                 for i in range(0, len(target), BATCH):
                     _step(own, squares, slots[i : i + BATCH], target[i : i + BATCH])
@@ -376,11 +395,9 @@ def _score(packs: pd.DataFrame, known: pd.DataFrame, model: Model) -> pd.DataFra
     buckets, starts = bucket[pack.stream], pack.starts()
     score = inner[pack.stream]
     for at in range(0, len(buckets), BATCH * 4):
-        low = max(0, at - 3)
-        part = buckets[low : at + BATCH * 4]
-        inside = starts[(starts >= low) & (starts < low + len(part))] - low
-        slots = context_slots(part, inside)[at - low :]
-        chosen = model.class_of[part[at - low :]]
+        part, skip = _part(buckets, at, BATCH * 4)
+        slots = context_slots(part, _within(starts, at - skip, len(part)))[skip:]
+        chosen = model.class_of[part[skip:]]
         logs = log_softmax(class_logits(model.weights, slots))
         score[at : at + len(chosen)] += logs[np.arange(len(chosen)), chosen] / np.log(10)
     return pd.DataFrame(
@@ -388,8 +405,8 @@ def _score(packs: pd.DataFrame, known: pd.DataFrame, model: Model) -> pd.DataFra
             "id": row.ids,
             "held_out": pack.held,
             "n_tokens": pack.lengths,
-            "n_known": np.add.reduceat((seen > 0)[pack.stream].astype(np.int64), starts),
-            "base_score": np.add.reduceat(log_seen[pack.stream] - model.base_log_total, starts),
+            "n_known": np.add.reduceat((seen > 0)[pack.stream], starts, dtype=np.int64),
+            "base_score": np.add.reduceat((log_seen - model.base_log_total)[pack.stream], starts),
             "score": np.add.reduceat(score, starts),
         }
     )
@@ -405,6 +422,7 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
     probabilities of the tokens with their end; unknown words of a class share one outcome,
     whose weight is the number of the class's words seen once.
     """
+    small_batches(df.sparkSession)
     packs = pack_documents(df, id_col, text_col, held_out)
     counts = cut_lineage(word_counts(packs))
     model = train(packs, counts)

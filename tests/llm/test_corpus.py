@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
@@ -379,3 +380,49 @@ def test_lm_scores_one_pack_at_a_time(spark, capsys):
     assert "CoGroup" in plan and "collect_list" not in plan
     got = {r.id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in scored.collect()}
     assert got == {str(i): (i % 5 == 1, 4, 3 if i % 5 == 1 else 4, 64) for i in range(20)}
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b")], "doc_id long, text string")
+    before = spark.conf.get(key)
+    try:
+        for use in (lambda: maxent.score_documents(docs, fold("doc_id", 5) == 1), lambda: corpus_pipeline.encode(spark, docs, "")):
+            for wide in (10_000, 0):  # 0: no limit
+                spark.conf.set(key, wide)
+                use()
+                assert int(spark.conf.get(key)) == 2_000
+        spark.conf.set(key, 100)
+        corpus_pipeline.encode(spark, docs, "")
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_pack_is_scored_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    builder = maxent._Builder()
+    for i in range(600):
+        builder.add(str(i), i % 5 == 1, " ".join(f"w{k}" for k in rng.integers(0, 3_000, 999)))
+    rows = builder.row()
+    tokens = 600 * 1_000
+    pack = maxent.Pack.of(next(rows.itertuples()))
+    assert len(pack.stream) == tokens and pack.stream.max() == 3_000
+    assert np.frombuffer(rows["counts"][0], "<u4").tolist() == np.bincount(pack.stream[np.repeat(~pack.held, pack.lengths)], minlength=3_001).tolist()
+    head = np.sort(pack.vocab)[: maxent.HEAD]
+    rank = np.arange(len(head))
+    buckets = pack.buckets(head, rank)[pack.stream].astype(np.int64)
+    starts, trained = pack.starts(), np.repeat(~pack.held, pack.lengths)
+    want = np.zeros(maxent.ANCHORS * maxent.BUCKETS, dtype=np.int64)
+    for steps in (1, 2):
+        before = maxent._back(buckets, starts, steps)
+        use = trained & (before < maxent.ANCHORS)
+        want += np.bincount(before[use] * maxent.BUCKETS + buckets[use], minlength=len(want))
+    tracemalloc.start()
+    cells = next(maxent._cooccurrence(iter([rows]), head, rank))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = np.zeros_like(want)
+    got[cells["cell"]] = cells["n"]
+    assert (got == want).all()
+    assert peak < 35 * tokens, peak  # whole arrays of eight bytes a token took more than twice that
