@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarmac.operators.order_stats import distinct_counts, exact_quantiles, long_values
 from tarmac.operators.skew import join_lookup, row_fingerprint
 from tarmac.schema import col
+from tarmac.session import cut_lineage
 
 
 def null_profile(df: DataFrame, only_missing: bool = True) -> DataFrame:
@@ -214,5 +215,7 @@ def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None, **skew_op
     """Every member of a group of equal rows (or equal ``subset``), the first one included."""
     by = list(subset or df.columns)
     marked = df.select("*", *row_fingerprint(by))
-    repeated = marked.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
-    return join_lookup(marked, repeated, ["_h1", "_h2"], "inner", **skew_options).drop("_h1", "_h2")
+    # Hot keys and counts read fingerprints alone: these are computed once for both, and written without the rows.
+    prints = cut_lineage(marked.select("_h1", "_h2"))
+    repeated = prints.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    return join_lookup(marked, repeated, ["_h1", "_h2"], "inner", keys_of=prints, **skew_options).drop("_h1", "_h2")

@@ -85,18 +85,21 @@ def join_lookup(
     small_bytes: int = SMALL_BYTES,
     detect: bool = True,
     null_keys: bool = False,
+    keys_of: DataFrame | None = None,
 ) -> DataFrame:
     """Join a table to another with one row per key.
 
     ``detect`` looks for hot keys in a pass over the keys of ``many``; without it, hot keys
     are left to the adaptive skew join, which can split ``many`` as the preserved side. Use
     it off where computing the keys costs as much as the join. ``null_keys`` spreads rows
-    without a key. With neither in play the join is plain and keeps an existing partitioning.
+    without a key. ``keys_of`` is a narrower table with the keys of all rows of ``many``, to look
+    for hot keys in. With neither in play the join is plain and keeps an existing partitioning.
     """
     keys = list(keys)
     if size_upper_bound(many) <= small_bytes:
         return many.join(one, keys, how)
-    hot = hot_keys(many, keys, rows_per_salt, small_bytes) if detect else {}
+    looked_in, limit = (many, small_bytes) if keys_of is None else (keys_of, -1)  # how narrow it is says nothing of its rows
+    hot = hot_keys(looked_in, keys, rows_per_salt, limit) if detect else {}
     if not hot and not null_keys:
         return many.join(one, keys, how)
     return _spread(many, keys, hot).join(_copied(one, keys, hot), [*keys, _SALT], how).drop(_SALT)

@@ -129,6 +129,19 @@ def test_duplicates(spark):
     assert found == [(2, 5), (2, 5), (3, 0), (3, 0)]
 
 
+def test_duplicate_rows_compute_fingerprints_once_for_hot_keys_and_counts(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def tell(x):
+        made.add(1)
+        return x
+
+    df = spark.range(60).select(F.udf(tell, "long")(F.col("id") % 40).alias("a"))
+    found = profile.duplicate_rows(df, rows_per_salt=1, small_bytes=0)
+    assert sorted(r["a"] for r in found.collect()) == sorted([*range(20), *range(20)])
+    assert made.value == 120  # once for hot keys and counts, once for the members
+
+
 def test_row_fingerprint_keeps_null_places_apart(spark):
     df = spark.createDataFrame([("x", None), (None, "x"), ("x", None)], "a string, b string")
     assert profile.duplicate_counts(df.withColumn("k", F.lit(1)), ["k"], "k").first()["full_duplicates"] == 1
