@@ -540,3 +540,13 @@ def test_queries_bound_generated_methods(spark, sf_dir):
         assert spark.conf.get(key) == "4000"
     finally:
         spark.conf.set(key, before)
+
+
+def test_forest_rows_are_spread_where_a_partition_holds_many(spark):
+    rows = spark.range(1_000, numPartitions=1).selectExpr("id", "CAST(id % 7 AS double) AS x")
+    assert select._spread(rows, 1_000) is rows
+    assert select._spread(rows.where("false"), 10).count() == 0
+    even = select._spread(rows, 300)
+    sizes = [r["count"] for r in even.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 300
+    assert sorted(map(tuple, even.collect())) == sorted(map(tuple, rows.collect()))
