@@ -31,6 +31,8 @@ LEAF_BYTES = 8
 LEAF_TOKENS = 4096
 #: Bytes from which a window is merged by a heap.
 LONG = 48
+#: Bytes of a batch of texts, about: texts, ids and decoded bytes are held together, several times over, beside the codec's tables.
+BATCH_BYTES = 640_000
 
 _RUN = re.compile(r"\s\s")
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -238,7 +240,7 @@ def encode_and_decode(
     out_col: str = "decoded",
 ) -> DataFrame:
     """``encode_texts`` and ``decode_ids`` in one pass: a task keeps one worker and sends no ids back and forth."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, size=BATCH_BYTES)
     both = scratch_name(df, "_both")
     done = df.withColumn(both, round_trip_column(text_or_empty(text_col), path, pattern))
     return done.withColumns({ids_col: F.col(both)["ids"], out_col: F.col(both)["decoded"]}).drop(both)

@@ -7,9 +7,11 @@ import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,6 +401,26 @@ def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
         spark.conf.set(key, before)
 
 
+def test_encoded_texts_reach_workers_in_few_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def rows_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([len(batch)] * len(batch))
+
+    docs = spark.range(1_500, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 640).alias("text"))
+    before = spark.conf.get(key, None)
+    try:
+        encoded = corpus_pipeline.encode(spark, docs, "")
+        largest = docs.select(F.pandas_udf(rows_of, "int")("text").alias("n")).agg(F.max("n")).first()[0]
+        assert 1 < largest <= 300
+        assert encoded.where(F.col("decoded") == F.col("text").cast("binary")).count() == 1_500
+        spark.conf.set(key, 1)  # less than any text: one row at a time, none lost
+        assert corpus_pipeline.encode(spark, docs.limit(20), "").count() == 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_pack_is_scored_in_bounded_memory():
     rng = np.random.default_rng(5)
     builder = maxent._Builder()
