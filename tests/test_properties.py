@@ -550,3 +550,18 @@ def test_forest_rows_are_spread_where_a_partition_holds_many(spark):
     sizes = [r["count"] for r in even.groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == 4 and max(sizes) <= 300
     assert sorted(map(tuple, even.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_deep_forest_keeps_nodes_and_spreads_rows(spark, labelled, monkeypatch):
+    monkeypatch.setattr(models, "DEEP_ROWS_PER_TASK", 100)
+    rows = labelled.coalesce(1)
+    n = rows.count()
+    cores = spark.sparkContext.defaultParallelism
+    assert models._forest_rows(rows, n, 10) is rows  # shallow: as before
+    deep = models._forest_rows(rows, n, 20)
+    assert 1 < deep.rdd.getNumPartitions() <= cores and deep.count() == n
+    assert sorted(r["id"] for r in deep.select("id").collect()) == sorted(r["id"] for r in rows.select("id").collect())
+    monkeypatch.setattr(models, "DEEP_ROWS_PER_TASK", 25_000)
+    assert models._forest_rows(rows, n, 20) is rows  # few rows: as before
+    kept = {d: models.fit_forest(rows, "y", ["good", "noise"], trees=2, depth=d).stages[0].stages[-1].getCacheNodeIds() for d in (4, 12)}
+    assert kept == {4: False, 12: True}
