@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.operators.boosting import Forest
+from tarmac.operators.deepforest import SCHEMA, DeepForest
 from tarmac.operators.impute import Scaler
-from tarmac.operators.models import Boosted, Scored
+from tarmac.operators.models import Boosted, Deep, Scored
 
 
 @dataclass
@@ -49,6 +50,9 @@ def save(spark: SparkSession, path: str, fitted: Fitted) -> int:
         state["scaler"] = {"mean": fitted.scaler.mean, "std": fitted.scaler.std}
     if isinstance(model, Boosted):
         state |= {"features": model.features, "forest": json.loads(model.forest.to_json())}
+    elif isinstance(model, Deep):
+        state |= {"features": model.features, "edges": model.forest.edges}
+        model.forest.to_table(spark).write.mode("overwrite").parquet(os.path.join(path, f"trees-{version}"))
     else:
         state["stages"] = len(model.stages)
         for i, stage in enumerate(model.stages):
@@ -67,6 +71,10 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Fitted:
     state = json.loads(saved.where(F.col("version") == version).first()["state"])
     if "forest" in state:
         model = Boosted(state["labels"], [], state["params"], Forest(**state["forest"]), state["features"])
+    elif "edges" in state:
+        trees = spark.read.schema(SCHEMA).parquet(os.path.join(path, f"trees-{version}"))
+        forest = DeepForest.from_table(trees, state["edges"], len(state["labels"]))
+        model = Deep(state["labels"], [], state["params"], forest, state["features"])
     else:
         stages = [PipelineModel.load(os.path.join(path, f"stage-{version}-{i}")) for i in range(state["stages"])]
         model = Scored(state["labels"], stages, state["params"])
