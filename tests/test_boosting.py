@@ -63,6 +63,29 @@ def test_levels_of_a_pass_are_one_stage(spark, rows, monkeypatch, limit):
     np.testing.assert_allclose(losses, again, atol=1e-9)
 
 
+def test_one_of_two_siblings_is_counted(rows, monkeypatch):
+    """The sums of the larger child follow from its parent's; trees are the same where every node is counted."""
+    ready = rows.select(models.label_index("y", presets.LABELS).alias("_y"), F.lit(1.5).alias("_w"), F.col("held").alias("_held"), "a", "b", "c")
+    settings, counted = boosting.Settings(iterations=2, depth=5, subsample=0.7, patience=3), []
+    sums = boosting._sums
+    monkeypatch.setattr(boosting, "_sums", lambda *a: counted.append(len(a[3])) or sums(*a))
+    near, losses = boosting.fit(ready, ["a", "b", "c"], 3, settings)
+    assert len(counted) == 10 and all(2 * n <= counted[0] for n in counted[1:5])
+    level = boosting._Level.complete
+    monkeypatch.setattr(boosting._Level, "complete", lambda self, *a: (level(self, *a), setattr(self, "sums", {}))[0])
+    whole, again = boosting.fit(ready, ["a", "b", "c"], 3, settings)
+    assert counted[10:15] == counted[:1] * 5
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "_TASK_ROWS", 100)
+    monkeypatch.setattr(boosting, "_COLLECT_BYTES", 100_000)  # sums fit the driver, those of all tasks do not; the last levels' do neither
+    far, third = boosting.fit(ready, ["a", "b", "c"], 3, settings, local_rows=0)
+    for other, own in ((whole, again), (far, third)):
+        assert [t[:2] for t in near.trees] == [t[:2] for t in other.trees] and len(near.trees) == 2
+        for one, two in zip(near.trees, other.trees, strict=True):
+            np.testing.assert_allclose(one[2], two[2], atol=1e-9)
+        np.testing.assert_allclose(losses, own, atol=1e-9)
+
+
 def test_best_cut_by_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):
